@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = [
     "p01_signature_tree",
     "p06_copies",
+    "p08_leaks",
 ]
 
 

@@ -8,6 +8,7 @@ MODULES = [
     "p01_signature_tree",
     "p06_copies",
     "p08_leaks",
+    "p09_mixture",
 ]
 
 

@@ -6,6 +6,8 @@ from importlib import import_module
 
 MODULES = [
     "p01_signature_tree",
+    "p02_confusables",
+    "p03_encoding",
     "p06_copies",
     "p08_leaks",
     "p09_mixture",

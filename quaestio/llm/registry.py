@@ -8,6 +8,7 @@ MODULES = [
     "p01_signature_tree",
     "p02_confusables",
     "p03_encoding",
+    "p04_canonical",
     "p06_copies",
     "p08_leaks",
     "p09_mixture",

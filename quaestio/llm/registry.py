@@ -12,6 +12,7 @@ MODULES = [
     "p06_copies",
     "p08_leaks",
     "p09_mixture",
+    "p10_personal",
 ]
 
 

@@ -10,6 +10,7 @@ MODULES = [
     "p03_encoding",
     "p04_canonical",
     "p06_copies",
+    "p07_truncated",
     "p08_leaks",
     "p09_mixture",
     "p10_personal",

@@ -9,6 +9,7 @@ MODULES = [
     "p02_confusables",
     "p03_encoding",
     "p04_canonical",
+    "p05_scans",
     "p06_copies",
     "p07_truncated",
     "p08_leaks",

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
 
-def queries():
-    return {}
+MODULES = ("bank", "exams")
 
 
-def oracle_sql():
-    return {}
+def _all(attribute: str) -> dict:
+    out: dict = {}
+    for name in MODULES:
+        out |= getattr(import_module(f"quaestio.plans.{name}").query, attribute)
+    return out
+
+
+def queries() -> dict:
+    return _all("queries")
+
+
+def oracle_sql() -> dict[str, str]:
+    return _all("sql")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bank", "exams")
+MODULES = ("bank", "exams", "linkage")
 
 
 def _all(attribute: str) -> dict:

@@ -1,0 +1,86 @@
+"""Linking documents: labels in common, staged scores of booklet and key, anchors in content."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quaestio.functions.catalogs import ROLE_STOP
+from quaestio.functions.text import accent_key, comparison_text, key_tokens
+
+#: The points of each stage, and the least points of a candidate.
+POINTS = {"familia": 10, "codigo": 60, "orgao": 25, "ano": 12, "versao": 25, "cargo": 30, "leiaute": 10, "faixa": 20, "faixa_parcial": 8}
+STRONG, CANDIDATE = 75, 35
+
+
+def labels_overlap(a: Column, b: Column, least: int) -> Column:
+    """Whether two sets of words are one label: equal, or at least ``least`` in common and three quarters of each."""
+    common = F.size(F.array_intersect(a, b))
+    share = F.least(common / F.greatest(F.size(a), F.lit(1)), common / F.greatest(F.size(b), F.lit(1)))
+    return F.coalesce((a == b) | ((common >= least) & (share >= 0.75)), F.lit(False))
+
+
+def profiles(sources: DataFrame) -> DataFrame:
+    """Source documents with what identifies them: code, words of the role, year, version."""
+    return sources.select(
+        F.col("id").alias("doc"), "tipo", F.upper(F.trim("identificacao_prova")).alias("codigo"), "ano", "versao",
+        F.when(F.col("cargo").isNotNull(), key_tokens(F.col("cargo"), ROLE_STOP)).alias("palavras"),
+    )
+
+
+def funnel(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(caderno, gabarito, pontos, decisao, eliminado_em) of pairs that share a code or a word of the role.
+
+    Only such pairs can become candidates by these stages, so documents meet by those keys, never all
+    with all. A stage where both sides say something different ends the pair.
+    """
+
+    def keyed(p: DataFrame) -> DataFrame:
+        keys = F.concat(F.array_compact(F.array(F.col("codigo"))), F.coalesce("palavras", F.array().cast("array<string>")))
+        return p.select("doc", F.explode(F.array_distinct(keys)).alias("chave"))
+
+    pairs = keyed(left).toDF("caderno", "chave").join(keyed(right).toDF("gabarito", "chave"), "chave").select("caderno", "gabarito").distinct()
+    a = left.select(*[F.col(c).alias(f"{c}_a") for c in ("doc", "codigo", "ano", "versao", "palavras")])
+    b = right.select(*[F.col(c).alias(f"{c}_b") for c in ("doc", "codigo", "ano", "versao", "palavras")])
+    j = pairs.join(a, F.col("caderno") == F.col("doc_a")).join(b, F.col("gabarito") == F.col("doc_b"))
+
+    def stage(x: Column, y: Column, same: Column) -> tuple[Column, Column]:
+        both = x.isNotNull() & y.isNotNull()
+        return F.coalesce(both & same, F.lit(False)), F.coalesce(both & ~same, F.lit(False))
+
+    code = stage(F.col("codigo_a"), F.col("codigo_b"), F.col("codigo_a") == F.col("codigo_b"))
+    version = stage(F.col("versao_a"), F.col("versao_b"), F.col("versao_a") == F.col("versao_b"))
+    role = stage(F.col("palavras_a"), F.col("palavras_b"), labels_overlap(F.col("palavras_a"), F.col("palavras_b"), 2))
+    year = F.coalesce(F.col("ano_a") == F.col("ano_b"), F.lit(False))
+    out = F.when(code[1], "identificadores").when(version[1], "modelo_versao").when(role[1], "cargo")
+    points = sum((F.when(c, POINTS[n]).otherwise(0) for n, c in (("codigo", code[0]), ("ano", year), ("versao", version[0]), ("cargo", role[0]))), F.lit(POINTS["familia"] + POINTS["leiaute"]))
+    strong = (points >= STRONG) & code[0] & (version[0] | role[0])
+    decision = F.when(out.isNotNull(), "descartada").when(strong, "candidato_forte_revisao").when(points >= CANDIDATE, "candidato_revisao").otherwise("revisao_manual")
+    return j.select("caderno", "gabarito", points.cast("int").alias("pontos"), decision.alias("decisao"), out.alias("eliminado_em"))
+
+
+def top_candidates(scored: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("caderno").orderBy(F.desc("pontos"), "gabarito")
+    return scored.where("eliminado_em IS NULL").withColumn("posicao", F.row_number().over(w)).where(F.col("posicao") <= n)
+
+
+def anchors(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(id, ancora): the first ``n`` words of texts of at least that many."""
+    words = F.split(comparison_text(F.col(text_col)), " ")
+    return df.select(F.col(id_col).alias("id"), words.alias("w")).where(F.size("w") >= n).select("id", F.array_join(F.slice("w", 1, n), " ").alias("ancora"))
+
+
+def anchor_match(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, novo, situacao): each old text's unique new text of the same anchor, else why there is none."""
+    n = new.groupBy("ancora").agg(F.min("id").alias("novo"), F.count("*").alias("k"))
+    j = old.join(n, "ancora", "left")
+    state = F.when(F.col("k").isNull(), "sem_ancora").when(F.col("k") > 1, "ambigua").otherwise("vinculada")
+    return j.select("id", F.when(F.col("k") == 1, F.col("novo")).alias("novo"), state.alias("situacao"))
+
+
+def catalogue(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, ref_id, situacao) of wanted (id, campo, valor) by exact key; a key of several entries is no entry."""
+    k = entries.select("campo", accent_key(F.col("nome")).alias("chave"), "ref_id").groupBy("campo", "chave").agg(F.min("ref_id").alias("ref_id"), F.count("*").alias("k"))
+    j = wanted.withColumn("chave", accent_key(F.col("valor"))).join(k, ["campo", "chave"], "left")
+    state = F.when(F.col("k").isNull(), "ausente").when(F.col("k") > 1, "ambigua").otherwise("encontrada")
+    return j.select("id", "campo", F.when(F.col("k") == 1, F.col("ref_id")).alias("ref_id"), state.alias("situacao"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bank", "exams", "linkage", "texts")
+MODULES = ("bank", "exams", "linkage", "texts", "segments", "documents")
 
 
 def _all(attribute: str) -> dict:

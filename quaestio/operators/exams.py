@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quaestio.functions.keys import normalize_key
 
-STATE = "struct<existe:boolean,intervalo:int,facilidade:double,seguidos:int,quando:timestamp_ntz>"
+#: Fixed values of spaced repetition, the ease in tenths: start, least, after a right and a wrong answer; longest interval.
+EASE, LEAST_EASE, RIGHT, WRONG, LONGEST = 25, 13, 1, -2, 36_500
+RUN = 40  # steps of an unbroken run of right answers after which the interval has long been the longest
 
 
 def responses_once(responses: DataFrame) -> DataFrame:
@@ -45,49 +47,76 @@ def scored(responses: DataFrame, questions: DataFrame) -> DataFrame:
     return agg.withColumn("nota", F.round(F.when(F.col("total") > 0, F.col("acertos") / F.col("total") * 100).otherwise(0.0), 6))
 
 
-def next_state(s: Column, right: Column, at: Column) -> Column:
-    """One step of spaced repetition. A first wrong answer keeps the ease of 2.5; intervals round half to even."""
-    ease = F.coalesce(s["facilidade"], F.lit(2.5))
-    known = F.coalesce(s["existe"], F.lit(False))
-    run = F.coalesce(s["seguidos"], F.lit(0)) + 1
-    grown = F.bround(F.coalesce(s["intervalo"], F.lit(0)) * ease).cast("int")
-    interval = F.when(right, F.when(run == 1, 1).when(run == 2, 6).otherwise(grown)).otherwise(1)
-    new_ease = F.when(right, F.least(F.lit(2.5), ease + 0.1)).otherwise(F.when(known, F.greatest(F.lit(1.3), ease - 0.2)).otherwise(2.5))
-    return F.struct(
-        F.lit(True).alias("existe"), interval.cast("int").alias("intervalo"), new_ease.alias("facilidade"),
-        F.when(right, run).otherwise(0).cast("int").alias("seguidos"), at.alias("quando"),
-    )
+def _step(f: Column, right: Column) -> Column:
+    """A map of the ease, e -> min(max(e + soma, baixo), alto), followed by one answer; such maps are closed under this."""
+    move = F.when(right, RIGHT).otherwise(WRONG)
+    low, high = F.when(right, 0).otherwise(LEAST_EASE), F.when(right, EASE).otherwise(99)
+    bound = lambda x: F.least(F.greatest(x + move, low), high)
+    return F.struct((f["soma"] + move).alias("soma"), bound(f["baixo"]).alias("baixo"), bound(f["alto"]).alias("alto"))
 
 
-def spaced_repetition(events: DataFrame, key: str, time: str, order: str, right: str) -> DataFrame:
-    """(key, proxima_revisao, intervalo_dias, fator_facilidade, acertos_seguidos) after all events of each key, in time order.
+def _apply(f: Column, ease: Column) -> Column:
+    return F.least(F.greatest(ease + f["soma"], f["baixo"]), f["alto"])
 
-    A wrong answer is due the same day. The state of a key depends on its events in order, so they
-    are gathered as one array of small structs a key, and folded inside the JVM.
-    """
-    per = events.where(F.col(right).isNotNull() & F.col(time).isNotNull()).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(order).alias("o"), F.col(right).alias("r")))).alias("e")
-    )
-    last = F.aggregate("e", F.lit(None).cast(STATE), lambda s, e: next_state(s, e["r"], e["t"]).cast(STATE))
-    s = per.select(key, last.alias("s"))
-    due = F.date_add(F.to_date("s.quando"), F.when(F.col("s.seguidos") > 0, F.col("s.intervalo")).otherwise(0))
-    return s.select(
-        key, due.cast("string").alias("proxima_revisao"), F.col("s.intervalo").alias("intervalo_dias"),
-        F.round("s.facilidade", 6).alias("fator_facilidade"), F.col("s.seguidos").alias("acertos_seguidos"),
-    )
 
+def spaced_repetition(events: DataFrame, key: str, time: str, order: str, right: str) -> DataFrame:
+    """(key, proxima_revisao, intervalo_dias, fator_facilidade, acertos_seguidos) after all events of each key, in time order.
 
-def gap_sessions(df: DataFrame, group: list[str], order: str, time: str, seconds: int) -> DataFrame:
-    """Rows with ``sessao``: a new one starts where the time since the row before exceeds ``seconds``.
+    Right: the interval is 1, then 6, then the one before times the old ease, rounded half to even, up
+    to LONGEST days; the ease grows by 0.1 to 2.5. Wrong: interval 1, due the same day, the ease falls
+    by 0.2 to 1.3, except that a key's very first answer leaves it at 2.5. Events without a time or
+    without a known answer are left out.
 
-    A row without a time starts one and so does the row after it. ``group`` bounds what is sorted
-    together; without one, see ``ordered_sessions``.
+    Events of one key may be a third of all. The effect of a stretch of answers on the ease is a small
+    map, and maps compose; so answers are folded by key and day first, and then the days of a key.
+    What comes after the last wrong answer is a count.
     """
-    w = Window.partitionBy(*group).orderBy(order)
-    before = F.lag(time).over(w)
-    gap = F.unix_seconds(F.col(time).cast("timestamp")) - F.unix_seconds(before.cast("timestamp"))
-    new = F.coalesce((gap > seconds) | (gap < 0), F.lit(True))
-    return df.withColumn("_new", new.cast("int")).withColumn("sessao", F.sum("_new").over(w)).drop("_new")
+    ev = events.where(F.col(right).isNotNull() & F.col(time).isNotNull())
+    ev = ev.select(key, F.col(time).alias("t"), F.col(order).alias("o"), F.col(right).alias("r"), F.to_date(time).alias("_d"))
+    day = ev.groupBy(key, "_d").agg(F.array_sort(F.collect_list(F.struct("t", "o", "r"))).alias("e"))
+    kind = "struct<soma:int,baixo:int,alto:int>"
+    ident = F.struct(F.lit(0).alias("soma"), F.lit(0).alias("baixo"), F.lit(99).alias("alto")).cast(kind)
+    fold = lambda xs: F.aggregate(xs, ident, lambda f, x: _step(f, x["r"]).cast(kind))
+    last_wrong = F.size("e") - F.coalesce(F.array_position(F.reverse(F.transform("e", lambda x: x["r"])), False), F.lit(0))
+    n = F.size("e")
+    has_wrong = F.exists("e", lambda x: ~x["r"])
+    until = F.when(has_wrong, last_wrong + 1).otherwise(0)  # answers up to the last wrong one
+    first_wrong = ~F.col("e")[0]["r"]
+    tail = F.slice("e", F.lit(2), F.greatest(n - 1, F.lit(0)))
+    days = day.select(
+        key, "_d", has_wrong.alias("errou"), (n - until).cast("int").alias("depois"), F.col("e")[n - 1]["t"].alias("quando"),
+        fold(F.col("e")).alias("f"), fold(F.slice("e", F.lit(1), until)).alias("g"),
+        F.when(first_wrong, fold(tail)).otherwise(fold(F.col("e"))).alias("f1"),
+        F.when(first_wrong, fold(F.slice("e", F.lit(2), F.greatest(until - 1, F.lit(0))))).otherwise(fold(F.slice("e", F.lit(1), until))).alias("g1"),
+    )
+    per = days.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_d", "errou", "depois", "quando", "f", "g", "f1", "g1"))).alias("ds"))
+    state = "struct<i:int,agora:int,base:int,seguidos:int>"
+    zero = F.struct(F.lit(0).alias("i"), F.lit(EASE).alias("agora"), F.lit(EASE).alias("base"), F.lit(0).alias("seguidos")).cast(state)
+
+    def one_day(s: Column, x: Column) -> Column:
+        first = s["i"] == 0
+        whole, cut = F.when(first, x["f1"]).otherwise(x["f"]), F.when(first, x["g1"]).otherwise(x["g"])
+        return F.struct(
+            (s["i"] + 1).alias("i"), _apply(whole, s["agora"]).alias("agora"),
+            F.when(x["errou"], _apply(cut, s["agora"])).otherwise(s["base"]).alias("base"),
+            F.when(x["errou"], x["depois"]).otherwise(s["seguidos"] + x["depois"]).alias("seguidos"),
+        ).cast(state)
+
+    out = per.select(key, F.aggregate("ds", zero, one_day).alias("s"), F.element_at("ds", -1)["quando"].alias("quando"))
+    run, base = F.col("s.seguidos"), F.col("s.base")
+
+    def grow(i: Column, k: Column) -> Column:
+        ease = F.least(F.lit(EASE), base + (k - 1) * RIGHT)
+        more = F.least(F.lit(LONGEST), F.bround(i * ease / 10).cast("int"))
+        return F.when(k == 1, 1).when(k == 2, 6).otherwise(more).cast("int")
+
+    steps = F.when(run > 0, F.sequence(F.lit(1), F.least(run, F.lit(RUN)))).otherwise(F.array().cast("array<int>"))
+    interval = F.when(run > 0, F.aggregate(steps, F.lit(1), grow)).otherwise(1)
+    due = F.date_add(F.to_date("quando"), F.when(run > 0, interval).otherwise(0))
+    return out.select(
+        key, due.cast("string").alias("proxima_revisao"), interval.cast("int").alias("intervalo_dias"),
+        F.round(F.col("s.agora") / 10, 6).alias("fator_facilidade"), run.alias("acertos_seguidos"),
+    )
 
 
 def sample(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:

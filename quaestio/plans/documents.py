@@ -79,15 +79,13 @@ def association_state(spark, d):
 _N = r"trim(regexp_replace(replace(lower(regexp_replace({}, '(\p{{L}})-\s*\n\s*(\p{{L}})', '\1\2', 'g')), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
 
-@query(f"""WITH o AS (SELECT registro_id AS id, string_split({_N.format("coalesce(json_extract_string(registro, '$.enunciado'), json_extract_string(registro, '$.ENUNCIADO'))")}, ' ') AS w FROM importacoes_brutas),
-a AS (SELECT id, array_to_string(w[1:14], ' ') AS k FROM o WHERE len(w) >= 14), q AS (SELECT id, string_split({_N.format('enunciado')}, ' ') AS w FROM questoes), b AS (SELECT id, array_to_string(w[1:14], ' ') AS k FROM q WHERE len(w) >= 14),
-n AS (SELECT k, min(id) AS novo, count(*) AS c FROM b GROUP BY 1)
-SELECT a.id, CASE WHEN c = 1 THEN novo END AS novo, CASE WHEN c IS NULL THEN 'sem_ancora' WHEN c > 1 THEN 'ambigua' ELSE 'vinculada' END AS situacao FROM a LEFT JOIN n USING (k)""")
+@query(f"""WITH q AS (SELECT id, string_split({_N.format('enunciado')}, ' ') AS w FROM questoes), a AS (SELECT id, array_to_string(w[1:14], ' ') AS k FROM q WHERE len(w) >= 14),
+n AS (SELECT k, min(id) AS novo, count(*) AS c FROM a WHERE id % 2 = 1 GROUP BY 1)
+SELECT a.id, CASE WHEN c = 1 THEN novo END AS novo, CASE WHEN c IS NULL THEN 'sem_ancora' WHEN c > 1 THEN 'ambigua' ELSE 'vinculada' END AS situacao FROM a LEFT JOIN n USING (k) WHERE a.id % 2 = 0""")
 def content_anchor_match(spark, d):
-    """Raw records and the only question that starts with the same fourteen words."""
-    stem = F.coalesce(F.get_json_object("registro", "$.enunciado"), F.get_json_object("registro", "$.ENUNCIADO"))
-    raw = table(spark, d, "importacoes_brutas").select(F.col("registro_id").alias("id"), stem.alias("t")).where("t IS NOT NULL")
-    return D.anchor_match(D.anchors(raw, "id", "t", 14), D.anchors(table(spark, d, "questoes"), "id", "enunciado", 14))
+    """Each question of even id and the only one of odd id that starts with the same fourteen words."""
+    a = D.anchors(table(spark, d, "questoes"), "id", "enunciado", 14)
+    return D.anchor_match(a.where("id % 2 = 0"), a.where("id % 2 = 1"))
 
 
 @query(f"""WITH k AS (SELECT campo, {_ACC.format('nome')} AS c, min(ref_id) AS ref_id, count(*) AS n FROM lista_canonica GROUP BY 1, 2)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quaestio.operators import exams as E
 from quaestio.operators import relational as R
+from quaestio.operators.ranges import gap_sessions, row_numbers
 from quaestio.plans.registry import Registry
 from quaestio.plans.sql import key_sql
 from quaestio.session import table
@@ -47,7 +48,7 @@ FROM tentativas WHERE finalizada_em IS NOT NULL""")
 def score_trend(spark, d):
     """Finished attempts of each exam in the order they started."""
     t = table(spark, d, "tentativas").where("finalizada_em IS NOT NULL")
-    t = E.numbered(t, ["prova_id"], [F.col("iniciada_em"), F.col("id")], "ordem")
+    t = row_numbers(t, ["prova_id"], F.to_date("iniciada_em"), ["iniciada_em", "id"], "ordem")
     return t.select("id", "prova_id", F.date_format("iniciada_em", "yyyy-MM-dd HH:mm:ss").alias("inicio"), "nota", "ordem")
 
 
@@ -89,13 +90,13 @@ def attempt_scoring(spark, d):
 _EVENTS = f"""SELECT r.questao_id, r.correta, r.id, t.iniciada_em, row_number() OVER (PARTITION BY r.questao_id ORDER BY t.iniciada_em, r.id) AS k
 FROM {_R} r JOIN tentativas t ON t.id = r.tentativa_id WHERE r.correta IS NOT NULL AND t.iniciada_em IS NOT NULL"""
 _SR = f"""WITH RECURSIVE e AS ({_EVENTS}), s AS (
-SELECT questao_id, k, iniciada_em AS quando, 1 AS i, 2.5::DOUBLE AS f, CASE WHEN correta THEN 1 ELSE 0 END AS n FROM e WHERE k = 1
+SELECT questao_id, k, iniciada_em AS quando, 1 AS i, 25 AS f, CASE WHEN correta THEN 1 ELSE 0 END AS n FROM e WHERE k = 1
 UNION ALL SELECT e.questao_id, e.k, e.iniciada_em,
- CASE WHEN NOT e.correta THEN 1 WHEN s.n = 0 THEN 1 WHEN s.n = 1 THEN 6 ELSE round_even(s.i * s.f, 0)::INTEGER END,
- CASE WHEN e.correta THEN least(2.5, s.f + 0.1) ELSE greatest(1.3, s.f - 0.2) END, CASE WHEN e.correta THEN s.n + 1 ELSE 0 END
+ CASE WHEN NOT e.correta THEN 1 WHEN s.n = 0 THEN 1 WHEN s.n = 1 THEN 6 ELSE least(36500, round_even(s.i * s.f / 10.0, 0))::INTEGER END,
+ CASE WHEN e.correta THEN least(25, s.f + 1) ELSE greatest(13, s.f - 2) END, CASE WHEN e.correta THEN s.n + 1 ELSE 0 END
  FROM s JOIN e ON e.questao_id = s.questao_id AND e.k = s.k + 1),
 l AS (SELECT s.* FROM s JOIN (SELECT questao_id, max(k) AS k FROM s GROUP BY 1) USING (questao_id, k)),
-estado AS (SELECT questao_id, CAST(quando::DATE + CASE WHEN n > 0 THEN i ELSE 0 END AS VARCHAR) AS proxima_revisao, i AS intervalo_dias, round(f, 6) AS fator_facilidade, n AS acertos_seguidos FROM l)"""
+estado AS (SELECT questao_id, CAST(quando::DATE + CASE WHEN n > 0 THEN i ELSE 0 END AS VARCHAR) AS proxima_revisao, i AS intervalo_dias, round(f / 10.0, 6)::DOUBLE AS fator_facilidade, n AS acertos_seguidos FROM l)"""
 
 
 def _events(spark, d):
@@ -117,14 +118,13 @@ def due_reviews(spark, d):
     return state.join(q, "questao_id", "left_semi").select("questao_id", "proxima_revisao")
 
 
-@query("""WITH g AS (SELECT id, coalesce(banca,'') AS banca, criada_em, lag(criada_em) OVER (PARTITION BY coalesce(banca,'') ORDER BY id) AS a FROM questoes),
-n AS (SELECT *, sum(CASE WHEN criada_em IS NULL OR a IS NULL OR epoch(criada_em) - epoch(a) > 86400 OR epoch(criada_em) < epoch(a) THEN 1 ELSE 0 END) OVER (PARTITION BY banca ORDER BY id) AS s FROM g)
-SELECT banca, s::BIGINT AS sessao, count(*) AS n, min(id) AS primeira, max(id) AS ultima FROM n GROUP BY 1, 2 HAVING count(*) > 1""")
+@query("""WITH g AS (SELECT id, criada_em, lag(criada_em) OVER (ORDER BY id) AS a FROM questoes),
+n AS (SELECT *, sum(CASE WHEN criada_em IS NULL OR a IS NULL OR epoch_us(criada_em) - epoch_us(a) > 600000000 OR criada_em < a THEN 1 ELSE 0 END) OVER (ORDER BY id) AS s FROM g)
+SELECT s::BIGINT AS sessao, count(*) AS n, min(id) AS primeira, max(id) AS ultima FROM n GROUP BY 1 HAVING count(*) > 1""")
 def import_sessions_gap(spark, d):
-    """Runs of questions of one board created within a day of the one before, in id order; single ones are dropped."""
-    q = table(spark, d, "questoes").select("id", F.coalesce("banca", F.lit("")).alias("banca"), "criada_em")
-    s = E.gap_sessions(q, ["banca"], "id", "criada_em", 86400)
-    return s.groupBy("banca", "sessao").agg(F.count("*").alias("n"), F.min("id").alias("primeira"), F.max("id").alias("ultima")).where("n > 1")
+    """Runs of questions created within ten minutes of the one before, in id order; single ones are dropped."""
+    s = gap_sessions(table(spark, d, "questoes").select("id", "criada_em"), "id", "criada_em", 600)
+    return s.groupBy("sessao").agg(F.count("*").alias("n"), F.min("id").alias("primeira"), F.max("id").alias("ultima")).where("n > 1")
 
 
 @query("""WITH s AS (SELECT l.prova_cadastrada_id AS id, array_agg(DISTINCT q.orgao) FILTER (q.orgao <> '') AS o, array_agg(DISTINCT q.ano) FILTER (q.ano IS NOT NULL) AS a,

@@ -189,7 +189,7 @@ def fuzzy_anchor(spark, d):
     return j.select(F.explode("ids").alias("id"), "ref_id", "distancia")
 
 
-@query("""SELECT id, strftime(iniciada_em, '%d/%m/%Y %H:%M') AS inicio, (epoch(finalizada_em)::BIGINT - epoch(iniciada_em)::BIGINT) AS segundos, CAST(iniciada_em::DATE + 6 AS VARCHAR) AS revisar_em,
+@query("""SELECT id, strftime(iniciada_em, '%d/%m/%Y %H:%M') AS inicio, (epoch_us(finalizada_em) // 1000000 - epoch_us(iniciada_em) // 1000000) AS segundos, CAST(iniciada_em::DATE + 6 AS VARCHAR) AS revisar_em,
 round_even(nota, 0) AS nota_inteira, least(greatest(nota, 10), 90) AS nota_limitada FROM tentativas""")
 def date_and_number_functions(spark, d):
     """Formatting, differences and sums of dates; half-even rounding and clamping."""

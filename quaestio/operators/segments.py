@@ -45,7 +45,7 @@ def parts(body: Column) -> Column:
     starts = F.filter(F.transform(options, lambda o, i: F.when(o["letra"] == "A", i)), lambda i: i.isNotNull())
     last = F.coalesce(F.array_max(starts), F.lit(0))
     inner = F.transform(F.slice(options, F.lit(1), last), lambda o: F.concat(F.lit("\n("), o["letra"], F.lit(") "), o["texto"]))
-    stem = strip(F.concat(cut[0], F.array_join(inner, "")))
+    stem = strip(F.concat(strip(cut[0]), F.array_join(inner, "")))
     return F.struct(stem.alias("enunciado"), _after(options, last + 1).alias("opcoes"))
 
 

@@ -18,7 +18,7 @@ c AS (SELECT doc_id, k, string_split(b, chr(31))[1]::INTEGER AS numero, regexp_r
 _PARTS = rf"""x AS (SELECT doc_id, k, numero, corpo, string_split(regexp_replace(corpo, '(?m)^[ \t]*\(?([A-E])\)[ \t]+', chr(30) || '\1', 'g'), chr(30)) AS p FROM c),
 y AS (SELECT *, list_transform(p[2:], lambda z: {{'letra': substr(z, 1, 1), 'texto': regexp_replace(substr(z, 2), '^\s+|\s+$', '', 'g')}}) AS o FROM x),
 w AS (SELECT *, coalesce(list_max(list_filter(list_transform(o, lambda z, i: CASE WHEN z.letra = 'A' THEN i - 1 END), lambda i: i IS NOT NULL)), 0) AS u FROM y),
-v AS (SELECT doc_id, k, numero, regexp_replace(p[1] || array_to_string(list_transform(o[1:u], lambda z: chr(10) || '(' || z.letra || ') ' || z.texto), ''), '^\s+|\s+$', '', 'g') AS enunciado, o[u + 1:] AS opcoes FROM w)"""
+v AS (SELECT doc_id, k, numero, regexp_replace(regexp_replace(p[1], '^\s+|\s+$', '', 'g') || array_to_string(list_transform(o[1:u], lambda z: chr(10) || '(' || z.letra || ') ' || z.texto), ''), '^\s+|\s+$', '', 'g') AS enunciado, o[u + 1:] AS opcoes FROM w)"""
 
 
 def _old_exams(spark, d):

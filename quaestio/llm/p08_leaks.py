@@ -92,16 +92,33 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, w]
 
 
+def contents(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One 64-bit digest of the words of each window, whatever their place."""
+    out = np.full(len(starts), SEED, np.int64)
+    with np.errstate(over="ignore"):
+        for k in range(WINDOW):
+            out = (out ^ words[starts + k]) * np.int64(-7046029254386353131)
+            out ^= (out >> 29) & 0x7FFFFFFFF
+    return out
+
+
 class ItemIndex:
+    """The distinct windows of all items, with the items that hold each, under their hashes."""
+
     def __init__(self, items: list[tuple[int, str]]):
         cache: dict = {}
         seqs = [(i, word_hashes(t, cache)) for i, t in items]
         seqs = [(i, h) for i, h in seqs if len(h) >= WINDOW]
         counts = [len(h) - WINDOW + 1 for _, h in seqs]
-        self.item = np.repeat(np.array([i for i, _ in seqs], np.int64), counts)
-        self.pos = np.concatenate([np.arange(c) for c in counts]) if seqs else np.zeros(0, np.int64)
+        item = np.repeat(np.array([i for i, _ in seqs], np.int64), counts)
         windows = [np.lib.stride_tricks.sliding_window_view(h, WINDOW) for _, h in seqs]
-        self.words = np.concatenate(windows) if seqs else np.zeros((0, WINDOW), np.int64)
+        words = np.concatenate(windows) if seqs else np.zeros((0, WINDOW), np.int64)
+        digest = contents(words.ravel(), np.arange(len(words)) * WINDOW) if len(words) else np.zeros(0, np.int64)
+        _, first, which = np.unique(digest, return_index=True, return_inverse=True)
+        self.words = words[first]
+        held = np.unique(np.stack([which, item], 1), axis=0) if len(words) else np.zeros((0, 2), np.int64)
+        self.items = held[:, 1]
+        self.at = np.searchsorted(held[:, 0], np.arange(len(first) + 1))
         self.sorted = []
         flat = self.words.ravel()
         for r in range(REPETITIONS):
@@ -109,6 +126,9 @@ class ItemIndex:
             order = np.argsort(h, kind="stable")
             self.sorted.append((h[order], order))
 
+    def holders(self, k: int) -> np.ndarray:
+        return self.items[self.at[k] : self.at[k + 1]]
+
     def candidates(self, words: np.ndarray, starts: np.ndarray, repetition: int):
         """(window, item window) of equal hash."""
         keys, order = self.sorted[repetition]
@@ -153,7 +173,10 @@ def _match(index: ItemIndex, docs: list, seqs: list, max_edits: int) -> pa.Recor
     lens = np.array([len(s) for s in seqs])
     owner = np.repeat(np.arange(len(seqs)), lens)
     left_over = np.repeat(np.cumsum(lens), lens) - np.arange(len(words))
-    starts = np.flatnonzero(left_over >= WINDOW)
+    places = np.flatnonzero(left_over >= WINDOW)
+    # repeated windows are searched once
+    _, first, which = np.unique(contents(words, places), return_index=True, return_inverse=True)
+    starts = places[first]
     found = []
     for r in range(REPETITIONS):
         w, k = index.candidates(words, starts, r)
@@ -165,35 +188,46 @@ def _match(index: ItemIndex, docs: list, seqs: list, max_edits: int) -> pa.Recor
             ok = d <= max_edits
             found.append(np.stack([w[ok], k[ok], d[ok]], 1))
     rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-    w, k, d = rows.T
-    doc, item, diagonal, at = owner[starts[w]], index.item[k], index.pos[k] - starts[w], starts[w]
-    order = np.lexsort((at, diagonal, d > 0, item, doc))
-    doc, item, diagonal, at, d = doc[order], item[order], diagonal[order], at[order], d[order]
-    if not len(doc):
-        return pa.record_batch([pa.array([], t.type) for t in OUT], schema=OUT)
-    same = (np.diff(doc) == 0) & (np.diff(item) == 0)
-    follows = same & (np.diff(diagonal) == 0) & (np.diff(at) == 1) & (d[1:] == 0) & (d[:-1] == 0)
-    run_start = np.flatnonzero(np.concatenate(([True], ~follows)))
-    run_len = np.diff(np.concatenate((run_start, [len(doc)]))) + WINDOW - 1
-    longest = np.zeros(len(doc), np.int64)
-    longest[run_start] = np.where(d[run_start] == 0, run_len, 0)
-    pair = np.flatnonzero(np.concatenate(([True], ~same)))
-    ids = np.array(docs, np.int64)
-    return pa.record_batch(
-        [
-            pa.array(ids[doc[pair]]),
-            pa.array(item[pair]),
-            pa.array(np.minimum.reduceat(d, pair).astype(np.int32)),
-            pa.array(np.maximum.reduceat(longest, pair).astype(np.int32)),
-            pa.array(np.diff(np.concatenate((pair, [len(doc)]))).astype(np.int32)),
-        ],
-        schema=OUT,
-    )
+    met: dict[int, list[tuple[int, int]]] = {}
+    for w, k, d in rows.tolist():
+        met.setdefault(w, []).append((k, d))
+    hit = np.zeros(len(starts), bool)
+    hit[list(met)] = True
+    at = np.flatnonzero(hit[which])
+    out: list[tuple] = []
+    for group in np.split(at, np.flatnonzero(np.diff(owner[places[at]])) + 1) if len(at) else []:
+        out += _of_document(index, docs[owner[places[group[0]]]], places[group], which[group], met)
+    cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, OUT, strict=True)], schema=OUT)
+
+
+def _of_document(index: ItemIndex, doc: int, places: np.ndarray, which: np.ndarray, met: dict) -> list[tuple]:
+    """(doc, item, least distance, longest run, windows) for each item met in one document."""
+    order = np.argsort(which, kind="stable")
+    kinds, cut = np.unique(which[order], return_index=True)
+    of_kind = dict(zip(kinds.tolist(), np.split(places[order], cut[1:]), strict=True))
+    parts: dict[int, list[tuple[int, int]]] = {}
+    for u in of_kind:
+        for k, d in met[u]:
+            for item in index.holders(k).tolist():
+                parts.setdefault(item, []).append((d, u))
+    rows = []
+    for item, met_kinds in parts.items():
+        exact = {u for d, u in met_kinds if d == 0}
+        run = 0
+        if exact:
+            p = np.sort(np.concatenate([of_kind[u] for u in exact]))
+            breaks = np.flatnonzero(np.diff(p) != 1)
+            run = int(np.diff(np.concatenate(([-1], breaks, [len(p) - 1]))).max()) + WINDOW - 1
+        windows = sum(len(of_kind[u]) for u in {u for _, u in met_kinds})
+        rows.append((doc, item, min(d for d, _ in met_kinds), run, windows))
+    return rows
 
 
 def leaked(documents: DataFrame, items: DataFrame, max_edits: int = 0) -> DataFrame:
     """(doc_id, item_id, edicoes, palavras_seguidas, janelas): the least edit distance of a window pair,
-    the longest run of equal words (0 if all windows are edited) and the number of window pairs."""
+    the longest stretch of the document whose windows all occur in the item (0 if all are edited), in words,
+    and the number of windows of the document that match."""
     spark = documents.sparkSession
     docs = spread(documents.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL"))
     rows = items.where("texto IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long"), "texto")

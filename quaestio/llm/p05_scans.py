@@ -183,6 +183,9 @@ def readings(found: DataFrame, vocab: DataFrame) -> DataFrame:
 
     names = ["tam", "fatia", "parte"]
     left, right = (df.select(*[k.alias(x) for k, x in zip(keys, names, strict=True)], *[c for c in df.columns if c not in names]) for df in (left, right))
+    # few bytes but much work: a number of partitions that isn't coalesced by size
+    tasks = 2 * found.sparkSession.sparkContext.defaultParallelism
+    left, right = left.repartition(tasks, *names), right.repartition(tasks, *names)
     pairs = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(match, "palavra string, lida string, custo double, m long")
     # confusions only: such costs are whole numbers; words without digits need a far more frequent reading
     pairs = pairs.where(F.abs(F.col("custo") - F.round("custo")) < 1e-9).join(found, "palavra")

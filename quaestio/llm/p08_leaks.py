@@ -36,14 +36,19 @@ REPETITIONS = 4
 MAX_EDITS = 2  # words by which a window may differ in ``p8_edited``
 ITEM_BLOCK = 20_000
 SEED = 20_240_801
+#: Combining marks of the first plane; a class of these alone is matched by table, so the rare others go one by one.
+_MARKS = re.compile("[" + "".join(chr(o) for o in range(0x300, 0x10000) if unicodedata.combining(chr(o))) + "]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def word_hashes(text: str | None, cache: dict) -> np.ndarray:
     if not text:
         return np.zeros(0, np.int64)
-    plain = unicodedata.normalize("NFD", text.lower())
-    plain = "".join(c for c in plain if not unicodedata.combining(c)) if not plain.isascii() else plain
+    plain = text.lower()
+    if not plain.isascii():
+        plain = _MARKS.sub("", unicodedata.normalize("NFD", plain))
+        if max(plain, default="") > "\uffff":
+            plain = "".join(c for c in plain if not unicodedata.combining(c))
     out = []
     for w in _WORD.findall(plain):
         h = cache.get(w)
@@ -105,7 +110,7 @@ def contents(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class ItemIndex:
     """The distinct windows of all items, with the items that hold each, under their hashes."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], repetitions: int = REPETITIONS):
         cache: dict = {}
         seqs = [(i, word_hashes(t, cache)) for i, t in items]
         seqs = [(i, h) for i, h in seqs if len(h) >= WINDOW]
@@ -121,7 +126,7 @@ class ItemIndex:
         self.at = np.searchsorted(held[:, 0], np.arange(len(first) + 1))
         self.sorted = []
         flat = self.words.ravel()
-        for r in range(REPETITIONS):
+        for r in range(repetitions):
             h = walk_hashes(flat, np.arange(len(self.words)) * WINDOW, r) if len(flat) else np.zeros(0, np.int64)
             order = np.argsort(h, kind="stable")
             self.sorted.append((h[order], order))
@@ -178,7 +183,7 @@ def _match(index: ItemIndex, docs: list, seqs: list, max_edits: int) -> pa.Recor
     _, first, which = np.unique(contents(words, places), return_index=True, return_inverse=True)
     starts = places[first]
     found = []
-    for r in range(REPETITIONS):
+    for r in range(len(index.sorted)):
         w, k = index.candidates(words, starts, r)
         if len(w):
             d = (words[starts[w][:, None] + np.arange(WINDOW)] != index.words[k]).any(1).astype(np.int16)
@@ -224,10 +229,12 @@ def _of_document(index: ItemIndex, doc: int, places: np.ndarray, which: np.ndarr
     return rows
 
 
-def leaked(documents: DataFrame, items: DataFrame, max_edits: int = 0) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, max_edits: int = 0, repetitions: int | None = None) -> DataFrame:
     """(doc_id, item_id, edicoes, palavras_seguidas, janelas): the least edit distance of a window pair,
     the longest stretch of the document whose windows all occur in the item (0 if all are edited), in words,
     and the number of windows of the document that match."""
+    if repetitions is None:  # equal windows meet in any one repetition
+        repetitions = REPETITIONS if max_edits else 1
     spark = documents.sparkSession
     docs = spread(documents.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL"))
     rows = items.where("texto IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long"), "texto")
@@ -235,7 +242,7 @@ def leaked(documents: DataFrame, items: DataFrame, max_edits: int = 0) -> DataFr
     parts = []
     for b in range(blocks):
         block = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else rows
-        index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in block.collect()]))
+        index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in block.collect()], repetitions))
         parts.append(docs.mapInArrow(_scan(index, max_edits), "doc_id long, item_id long, edicoes int, palavras_seguidas int, janelas int"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -49,6 +49,7 @@ SUFFIXES = {"filho", "neto", "junior", "sobrinho", "segundo"}
 
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 _AT = r"\s?(?:@|\(\s?(?:arroba|at)\s?\)|\[\s?(?:arroba|at)\s?\]|\{\s?(?:arroba|at)\s?\})\s?|\s(?:arroba)\s"
+_AT_HINT = re.compile(r"arroba|[\[({]\s?at\s?[\])}]", re.IGNORECASE)
 _DOT = r"(?:\.|\s?\((?:ponto|dot)\)\s?|\s?\[(?:ponto|dot|\.)\]\s?|\sponto\s)"
 EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9_][\w.+%-]*(?:{_AT})[A-Za-z0-9][A-Za-z0-9-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9-]*)+", re.IGNORECASE)
 DOCUMENT = re.compile(
@@ -93,6 +94,8 @@ def bare(text: str) -> str:
 
 def _names(text: str):
     for m in CAPITALS.finditer(text):
+        if " " not in m.group():
+            continue  # a name has two words at least
         parts = [(p.start() + m.start(), p.end() + m.start(), p.group()) for p in _PART.finditer(m.group())]
         if sum(p[2][0].isupper() and len(p[2]) > 1 for p in parts) > 7:
             continue  # a passage in capitals, not a name
@@ -140,7 +143,7 @@ def _covered(pattern, text, kind, group=0):
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the personal items of a text, without overlap, in order."""
     groups = [
-        _covered(EMAIL, text, "email") if "@" in text or "arroba" in text or "ARROBA" in text or "[" in text or "(" in text else (),
+        _covered(EMAIL, text, "email") if "@" in text or _AT_HINT.search(text) else (),
         _covered(NAMED_DOCUMENT, text, "documento", "n"),
         _covered(DOCUMENT, text, "documento"),
         _covered(PHONE, text, "telefone"),

@@ -2,8 +2,8 @@
 
 Three kinds of evidence, all from prefix self-joins over the whole bank:
 
-* a value is a strict prefix of a longer copy elsewhere: hashes of prefixes of fixed lengths meet, then
-  the texts are compared;
+* a stem is a strict prefix of a longer copy elsewhere: in the sorted distinct texts all that continue a
+  text follow it, so the next one tells;
 * its tail, the last word (or part of one) with the two words before it, is a strict prefix of tails
   that go on elsewhere: contexts with the first letters of the word meet, and what follows there is
   counted as going on, as a stop, or as the end of a value. A tail that never stops anywhere is cut; a
@@ -17,19 +17,18 @@ without a source have no limit; an empty table gives an empty result.
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaestio.llm.p02_confusables import _SUSPECT, consistent
 from quaestio.llm.texts import OPTION, STEM
-from quaestio.session import materialize, table
+from quaestio.session import materialize, spread, table
 
-LENGTHS = (32, 64, 128, 256)  # of the prefixes that are hashed
 STOP_SHARE = 0.02  # a tail that stops in at least this share of its other uses is a possible end
 CHANCE = 4.0  # stops to expect of a word in as many uses before their absence counts
 PILE, PILE_SHARE = 4, 0.08  # values at the greatest length of a source that make it a limit
-_CLOSED = r"[.!?:;\"'”’»)\]%]\s*$"
+_CLOSERS = tuple(".!?:;\"'”’»)]%")
+_SIGNS = tuple("….])-–—")
 _OMISSION = r"(?:\s*(?:…|\.{3,}|\[\.{3}\]|\(\.{3}\)|\(…\)|[-–—])+)\s*$"
 
 
@@ -48,25 +47,32 @@ def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.join(of, "questao_id", "left").select("campo", "registro_id", "fonte", "texto")
 
 
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def body(text: Column) -> Column:
-    """The value without blanks and without a sign of omission at its end."""
-    return F.regexp_replace(F.regexp_replace(text, _OMISSION, ""), r"\s+$", "")
+    """A squeezed value without a sign of omission at its end."""
+    cut = F.trim(F.regexp_replace(text, _OMISSION, ""))
+    return F.when(F.right(text, F.lit(1)).isin(*_SIGNS), cut).otherwise(text)
+
+
+_STOP = "\x01"  # at the end of a token after which there is a stop
 
 
 def tokens(text: Column) -> Column:
-    """Array of (w, stop): words in lower case, digits as 9, with whether a stop follows."""
-    raw = F.split(F.translate(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), "0123456789", "9" * 10), " ")
-    return F.transform(
-        raw,
-        lambda w: F.struct(
-            F.regexp_replace(F.regexp_replace(w, r"^[(\[\"“‘«]+", ""), r"[.,;:!?…\"”’»)\]]+$", "").alias("w"),
-            w.rlike(r"[.,;:!?…\"”’»)\]]$").alias("stop"),
-        ),
-    )
+    """Array of words of a squeezed text in lower case, digits as 9, without signs around; a stop after a word leaves _STOP at its end."""
+    t = F.translate(F.lower(text), "0123456789", "9" * 10)
+    t = F.regexp_replace(t, r"[.,;:!?…\"”’»)\]]+(?= |$)", _STOP)
+    return F.split(F.regexp_replace(t, r"(?<=^| )[(\[\"“‘«]+", ""), " ")
+
+
+def bare(word: Column) -> Column:
+    return F.translate(F.coalesce(word, F.lit("")), _STOP, "")
 
 
 def word_at(toks: str, k) -> Column:
-    return F.coalesce(F.get(F.col(toks), k).getField("w"), F.lit(""))
+    return bare(F.get(F.col(toks), k))
 
 
 def tail_uses(values: DataFrame) -> DataFrame:
@@ -74,15 +80,15 @@ def tail_uses(values: DataFrame) -> DataFrame:
 
     The end of a value that stands at its source's limit (``no_limite``) counts as neither.
     """
-    t = values.select(tokens(body(F.col("texto"))).alias("t"), "no_limite")
-    places = F.transform(
-        F.sequence(F.lit(0), F.size("t") - 1),
-        lambda i: F.struct(
-            word_at("t", i - 2).alias("w2"), word_at("t", i - 1).alias("w1"), word_at("t", i).alias("w"),
-            F.get(F.col("t"), i).getField("stop").alias("stop"), (i == F.size("t") - 1).alias("fim"),
-        ),
+    t = values.select(tokens(F.col("corpo")).alias("t"), "no_limite")
+    empty = F.lit("")
+    shifted = F.arrays_zip(F.concat(F.array(empty, empty), "t").alias("a"), F.concat(F.array(empty), "t").alias("b"), F.col("t").alias("c"))
+    p = t.select("no_limite", F.size("t").alias("n"), F.posexplode(shifted).alias("k", "z")).where("k < n")
+    p = p.select(
+        bare(F.col("z")["a"]).alias("w2"), bare(F.col("z")["b"]).alias("w1"), bare(F.col("z")["c"]).alias("w"),
+        F.endswith(F.col("z")["c"], F.lit(_STOP)).alias("stop"), (F.col("k") == F.col("n") - 1).alias("fim"), "no_limite",
     )
-    p = t.select("no_limite", F.explode(places).alias("p")).select("no_limite", "p.*").where("w <> '' AND NOT (fim AND no_limite)")
+    p = p.where("w <> '' AND NOT (fim AND no_limite)")
     stops = F.col("stop")
     return p.groupBy("w2", "w1", "w").agg(
         F.count_if(~stops & ~F.col("fim")).alias("vai"), F.count_if(stops).alias("para"), F.count_if(~stops & F.col("fim")).alias("fim")
@@ -99,19 +105,21 @@ def judged_tails(open_values: DataFrame, uses: DataFrame) -> DataFrame:
     own = F.count_if(~F.col("no_limite"))  # ends of the judged values themselves
     judged = open_values.where("w <> ''").groupBy("w2", "w1", "w").agg(own.alias("proprias"))
     for k, context in enumerate((["w2", "w1"], ["w1"], [])):
-        known = uses.groupBy(*context, "w").agg(*[F.sum(c).alias(c) for c in ("vai", "para", "fim")]).withColumnRenamed("w", "outra")
+        keys = [*context, "w"]
+        known = uses.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("vai", "para", "fim")]).withColumnRenamed("w", "outra")
         # words meet by a prefix of fixed length: two letters, or one where the tail has only one
         heads = known.withColumn("h", F.explode(F.array_distinct(F.array(F.substring("outra", 1, 1), F.substring("outra", 1, 2)))))
-        mine = judged.select("w2", "w1", "w", "proprias").withColumn("h", F.substring("w", 1, 2))
+        mine = judged.select(*keys).distinct().withColumn("h", F.substring("w", 1, 2))
         met = mine.join(heads, [*context, "h"]).where(F.col("outra").startswith(F.col("w")))
         same = F.col("outra") == F.col("w")
         uses_of = F.col("vai") + F.col("para") + F.col("fim")
-        sums = met.groupBy("w2", "w1", "w").agg(
+        sums = met.groupBy(*keys).agg(
             F.sum(F.when(same, F.col("vai")).otherwise(0)).alias(f"vai{k}"),
-            (F.sum(F.when(same, F.col("para") + F.col("fim")).otherwise(0)) - F.least(F.first("proprias"), F.lit(1))).alias(f"para{k}"),
+            F.sum(F.when(same, F.col("para") + F.col("fim")).otherwise(0)).alias(f"para{k}"),
             F.sum(F.when(same, 0).otherwise(uses_of)).alias(f"longas{k}"),
         )
-        judged = materialize(judged.join(sums, ["w2", "w1", "w"], "left").fillna(0))
+        judged = judged.join(sums, keys, "left").fillna(0).withColumn(f"para{k}", F.col(f"para{k}") - F.least("proprias", F.lit(1)))
+        judged = materialize(judged)
     share = F.greatest(F.col("para2"), F.lit(0)) / F.greatest(F.col("vai2") + F.col("para2"), F.lit(1))
     verdict = F.lit(None).cast("boolean")
     for k in (2, 1, 0):
@@ -123,20 +131,28 @@ def judged_tails(open_values: DataFrame, uses: DataFrame) -> DataFrame:
     return judged.select("w2", "w1", "w", verdict.alias("cortada"))
 
 
+def continued(forms: DataFrame) -> DataFrame:
+    """Of distinct texts (f), those that another one continues.
+
+    Ranges of the sorted texts are each sorted in a task; the first text of the next range stands after
+    the last one of a range.
+    """
+    parts = materialize(forms.repartitionByRange("f").withColumn("_p", F.spark_partition_id()))
+    first = parts.groupBy("_p").agg(F.min("f").alias("_first"))
+    after = first.select("_p", F.lead("_first").over(Window.partitionBy(F.lit(0)).orderBy("_p")).alias("_after"))  # a row a range
+    following = F.coalesce(F.lead("f").over(Window.partitionBy("_p").orderBy("f")), "_after")
+    return parts.join(F.broadcast(after), "_p").select("f", following.alias("_next")).where(F.col("_next").startswith(F.col("f"))).select("f")
+
+
 def longer_copies(open_values: DataFrame, values: DataFrame) -> DataFrame:
-    """(campo, registro_id) of values whose body is a strict prefix of another that goes on in letters or digits."""
-    form = F.lower(F.trim(F.regexp_replace("texto", r"\s+", " ")))
-    mine = open_values.withColumn("f", F.lower(F.trim(F.regexp_replace(body(F.col("texto")), r"\s+", " ")))).withColumn("n", F.length("f"))
-    keys = F.coalesce(*[F.when(F.col("n") >= k, F.lit(k)) for k in reversed(LENGTHS)])
-    mine = mine.withColumn("k", keys).where("k IS NOT NULL").withColumn("h", F.xxhash64(F.substring(F.col("f"), F.lit(1), F.col("k"))))
-    mine = mine.select("campo", "registro_id", "f", "n", "k", "h")
-    all_ = values.select("campo", F.col("registro_id").alias("outro"), form.alias("g")).withColumn("m", F.length("g"))
-    each = all_.select("campo", "outro", "m", F.explode(F.array(*map(F.lit, LENGTHS))).alias("k"), "g").where("m > k")
-    each = each.select("campo", "outro", "m", "k", F.xxhash64(F.substring(F.col("g"), F.lit(1), F.col("k"))).alias("h"))
-    met = mine.join(each, ["campo", "k", "h"]).where("m > n").select("campo", "registro_id", "f", "n", "outro")
-    texts = met.join(all_.select("campo", "outro", "g"), ["campo", "outro"]).where(F.col("g").startswith(F.col("f")))
-    goes_on = F.substring(F.col("g"), F.col("n") + 1, F.length("g")).rlike(r"[\p{L}\p{N}]")
-    return texts.where(goes_on).select("campo", "registro_id").distinct()
+    """(registro_id) of stems whose body is a strict prefix of another that goes on in letters or digits.
+
+    Signs at the end are set aside on both sides, so whatever continues a form adds a letter or digit.
+    """
+    form = F.regexp_replace(F.lower("corpo"), r"[^\p{L}\p{N}]+$", "").alias("f")
+    forms = values.where(F.col("campo") == STEM).select(form).where("f <> ''").distinct()
+    mine = open_values.where(F.col("campo") == STEM).select("campo", "registro_id", form)
+    return mine.join(continued(forms), "f").select("campo", "registro_id")
 
 
 def limits(values: DataFrame) -> DataFrame:
@@ -168,13 +184,13 @@ def assessed(values: DataFrame) -> DataFrame:
     at_limit = (F.length("texto") >= F.col("limite") - 1) | (F.octet_length("texto") >= F.col("limite_bytes") - 3)
     values = values.join(limit, ["campo", "fonte"], "left").withColumn("no_limite", F.coalesce(at_limit, F.lit(False)))
     values = normal(values.drop("limite", "limite_bytes"))
-    values = materialize(values.select("campo", "registro_id", "fonte", F.col("normal").alias("texto"), "no_limite"))
-    last = F.col("t")[F.size("t") - 1]["w"]
-    unclosed = values.where(~body(F.col("texto")).rlike(_CLOSED)).withColumn("t", tokens(body(F.col("texto"))))
+    values = values.select("campo", "registro_id", "fonte", squeezed(F.col("normal")).alias("texto"), "no_limite")
+    values = materialize(spread(values).withColumn("corpo", body(F.col("texto"))))
+    unclosed = values.where(~F.right("corpo", F.lit(1)).isin(*_CLOSERS)).withColumn("t", tokens(F.col("corpo")))
     unclosed = materialize(
         unclosed.select(
-            "campo", "registro_id", "fonte", "texto", "no_limite",
-            word_at("t", F.size("t") - 3).alias("w2"), word_at("t", F.size("t") - 2).alias("w1"), last.alias("w"),
+            "campo", "registro_id", "fonte", "texto", "corpo", "no_limite",
+            word_at("t", F.size("t") - 3).alias("w2"), word_at("t", F.size("t") - 2).alias("w1"), word_at("t", F.size("t") - 1).alias("w"),
         )
     )
     tails = judged_tails(unclosed, materialize(tail_uses(values)))
@@ -190,8 +206,8 @@ def truncated(values: DataFrame) -> DataFrame:
     stands at its source's limit, and where an option at the limit is a sentence (a capital first).
     """
     a = assessed(values)
-    sentence = F.col("texto").rlike(r"^\s*\p{Lu}")
-    sign = F.col("texto").rlike(r"[\p{L}\p{N}](?:…|\.{3,}|-)\s*$")
+    sentence = F.col("texto").rlike(r"^\p{Lu}")
+    sign = F.col("texto").rlike(r"[\p{L}\p{N}](?:…|\.{3,}|-)$")
     unsure = F.col("cortada").isNull() & (F.col("no_limite") | sign)
     stem = F.col("campo") == STEM
     ends = F.col("cortada") == F.lit(False)

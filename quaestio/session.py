@@ -42,7 +42,8 @@ def materialize(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Split a small input over all cores ahead of CPU-heavy work.
 
-    A scan of many partitions is left as it is, so large inputs aren't shuffled.
+    For scans and what is projected from them only: to count the partitions of a plan with a shuffle
+    would run it. A scan of many partitions is left as it is, so large inputs aren't shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= per_core * cores:

@@ -270,7 +270,7 @@ def similar_sets(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFr
     """Of ``shingle_sets``: (id, rep, copies) of each row, and (a, b) of similar representatives."""
     reps = sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = materialize(sets.select("id", "k1", "k2").join(reps, ["k1", "k2"]).select("id", "rep", "copies"))
-    heads = sets.join(members.where("id = rep").select("id"), "id").select("id", "shingles")
+    heads = materialize(sets.join(members.where("id = rep").select("id"), "id").select("id", "shingles"))
     spark = sets.sparkSession
     sketch = spark.sparkContext.broadcast(rarity_sketch(heads))
     posted = spread(heads).mapInArrow(_postings(sketch, num, den), _ddl(POSTING))

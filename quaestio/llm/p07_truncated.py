@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quaestio.llm.p02_confusables import _SUSPECT, consistent
 from quaestio.llm.texts import OPTION, STEM
-from quaestio.session import materialize, spread, table
+from quaestio.session import materialize, table
 
 STOP_SHARE = 0.02  # a tail that stops in at least this share of its other uses is a possible end
 CHANCE = 4.0  # stops to expect of a word in as many uses before their absence counts
@@ -185,7 +185,7 @@ def assessed(values: DataFrame) -> DataFrame:
     values = values.join(limit, ["campo", "fonte"], "left").withColumn("no_limite", F.coalesce(at_limit, F.lit(False)))
     values = normal(values.drop("limite", "limite_bytes"))
     values = values.select("campo", "registro_id", "fonte", squeezed(F.col("normal")).alias("texto"), "no_limite")
-    values = materialize(spread(values).withColumn("corpo", body(F.col("texto"))))
+    values = materialize(values.withColumn("corpo", body(F.col("texto"))))
     unclosed = values.where(~F.right("corpo", F.lit(1)).isin(*_CLOSERS)).withColumn("t", tokens(F.col("corpo")))
     unclosed = materialize(
         unclosed.select(

@@ -180,6 +180,7 @@ def normal(values: DataFrame) -> DataFrame:
 
 def assessed(values: DataFrame) -> DataFrame:
     """Unclosed values with their evidence: (campo, registro_id, fonte, texto, cortada, copia, no_limite)."""
+    values = materialize(values)  # with its source: joined once, read for lengths and for texts
     limit = materialize(limits(values))
     at_limit = (F.length("texto") >= F.col("limite") - 1) | (F.octet_length("texto") >= F.col("limite_bytes") - 3)
     values = values.join(limit, ["campo", "fonte"], "left").withColumn("no_limite", F.coalesce(at_limit, F.lit(False)))

@@ -114,14 +114,23 @@ def next_k_support(df: DataFrame, group: str, order: list[str], declared: str, c
 def smallest_window(regions: DataFrame, needles: DataFrame, key: str) -> DataFrame:
     """(key, de, ate): the shortest run of regions, in order, whose joined text contains the needle; ties by start.
 
-    regions: key, n, texto (already in comparing form); needles: key, agulha. The regions of one
-    document are gathered; windows grow only where the whole contains the needle at all.
+    regions: key, n, texto (already in comparing form); needles: key, agulha. Each place of the needle in
+    the whole text, taken left to right without overlap, is covered by one run of regions, found by
+    their offsets; so the work grows with the text, not with the number of possible runs.
     """
-    per = regions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "texto"))).alias("rs")).join(needles, key)
-    per = per.where(F.array_join(F.transform("rs", lambda r: r["texto"]), " ").contains(F.col("agulha")))
-    starts = per.select(key, "agulha", "rs", F.explode(F.sequence(F.lit(1), F.size("rs"))).alias("i"))
-    both = starts.select(key, "agulha", "rs", "i", F.explode(F.sequence("i", F.size("rs"))).alias("j"))
-    text = F.array_join(F.transform(F.slice("rs", F.col("i"), F.col("j") - F.col("i") + 1), lambda r: r["texto"]), " ")
-    hit = both.where(text.contains(F.col("agulha")))
-    best = hit.groupBy(key).agg(F.min(F.struct((F.col("j") - F.col("i")).alias("d"), "i", "j")).alias("b"))
-    return best.select(key, F.col("b.i").alias("de"), F.col("b.j").alias("ate"))
+    w = Window.partitionBy(key).orderBy("n")
+    size = F.length("texto") + 1
+    lines = regions.select(
+        key, F.row_number().over(w).alias("i"), (F.sum(size).over(w) - size).alias("a"), F.sum(size).over(w).alias("b")
+    )
+    whole = regions.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "texto"))), lambda r: r["texto"]), " ").alias("t"))
+    hit = whole.join(needles.where("agulha <> ''"), key).where(F.contains("t", F.col("agulha")))
+    before = F.split("t", F.concat(F.lit(r"\Q"), F.col("agulha"), F.lit(r"\E")))
+    places = hit.select(key, F.length("agulha").alias("m"), F.posexplode(F.slice(before, F.lit(1), F.size(before) - 1)).alias("o", "p"))
+    at = F.sum(F.length("p")).over(Window.partitionBy(key).orderBy("o")) + F.col("o") * F.col("m")
+    places = places.select(key, "o", at.alias("s"), (at + F.col("m") - 1).alias("e"))
+    inside = lambda x: (F.col("a") <= F.col(x)) & (F.col(x) < F.col("b"))
+    first = places.join(lines, key).where(inside("s")).select(key, "o", F.col("i").alias("de"))
+    last = places.join(lines, key).where(inside("e")).select(key, "o", F.col("i").alias("ate"))
+    best = first.join(last, [key, "o"]).groupBy(key).agg(F.min(F.struct((F.col("ate") - F.col("de")).alias("d"), "de", "ate")).alias("b"))
+    return best.select(key, "b.de", "b.ate")

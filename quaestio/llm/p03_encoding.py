@@ -112,8 +112,6 @@ def train(values: list[str]) -> np.ndarray:
             continue
         weight = min(n, 20)
         np.add.at(counts[0], _bigrams(w), weight)
-        if not any(c in LETTERS for c in w):
-            continue
         for k, name in enumerate(CHAINS, 1):
             g = garble(w, name)
             if g is not None and g != w:

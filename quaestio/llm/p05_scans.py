@@ -234,28 +234,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise(fields(spark, sf_dir, STEM, SUPPORT))[0]
 
 
-def ranked(values: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(campo, registro_id, palavra, lida): for each value and misread word the reading its neighbours make likeliest.
+def ranked(values: DataFrame, noisy: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(campo, registro_id, palavra, lida): for each noisy value and misread word the reading its neighbours make likeliest.
 
-    Cost first; of equal cost the reading more often seen beside the neighbours, then the more frequent.
+    Cost first; of equal cost the reading more often seen beside the neighbours in all values, then the
+    more frequent. Only words with several such readings look at neighbours.
     """
     best = candidates.join(candidates.groupBy("palavra").agg(F.min("custo").alias("custo")), ["palavra", "custo"])
+    best = materialize(best.withColumn("varias", F.count("*").over(Window.partitionBy("palavra")) > 1))
     text = F.lower(F.regexp_replace("texto", r"[-‐‑¬­][ \t]*\r?\n[ \t]*", ""))
-    w = values.select("campo", "registro_id", F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("w"))
+    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    w = noisy.select("campo", "registro_id", words.alias("w"))
     places = w.select("campo", "registro_id", F.posexplode("w").alias("k", "palavra"), "w")
     near = places.join(best, "palavra").select(
-        "campo", "registro_id", "palavra", "lida", "m", F.get("w", F.col("k") - 1).alias("antes"), F.get("w", F.col("k") + 1).alias("depois")
+        "campo", "registro_id", "palavra", "lida", "m", "varias", F.get("w", F.col("k") - 1).alias("antes"), F.get("w", F.col("k") + 1).alias("depois")
     )
     near = materialize(near)
-    needed = near.select(F.col("antes").alias("a"), F.col("lida").alias("b")).union(near.select("lida", "depois")).distinct()
-    pairs = w.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))).alias("p"))
-    pairs = pairs.select("p.*").groupBy("a", "b").agg(F.count("*").alias("n")).join(needed, ["a", "b"])
+    doubt = near.where("varias")
+    needed = doubt.select(F.col("antes").alias("a"), F.col("lida").alias("b")).union(doubt.select("lida", "depois")).distinct()
+    each = values.select(words.alias("w")).where("size(w) > 1")
+    both = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))
+    pairs = each.select(F.explode(both).alias("p")).select("p.*").where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = materialize(pairs.join(needed, ["a", "b"]))
     left = pairs.select(F.col("a").alias("antes"), F.col("b").alias("lida"), F.col("n").alias("na"))
     right = pairs.select(F.col("a").alias("lida"), F.col("b").alias("depois"), F.col("n").alias("nd"))
     scored = near.join(left, ["antes", "lida"], "left").join(right, ["lida", "depois"], "left")
     score = F.struct((F.log1p(F.coalesce("na", F.lit(0))) + F.log1p(F.coalesce("nd", F.lit(0)))).alias("s"), "m", "lida")
-    order = Window.partitionBy("campo", "registro_id", "palavra").orderBy(score.desc())
-    return scored.withColumn("k", F.row_number().over(order)).where("k = 1").select("campo", "registro_id", "palavra", "lida")
+    return scored.groupBy("campo", "registro_id", "palavra").agg(F.max_by("lida", score).alias("lida"))
 
 
 def repaired(text: str, words: dict[str, str], joins: set[str]) -> str:
@@ -289,7 +294,7 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = fields(spark, sf_dir, STEM, SUPPORT)
     found, joins, candidates = noise(values)
     noisy = materialize(values.join(found, ["campo", "registro_id"]))
-    lists = ranked(noisy, candidates).groupBy("campo", "registro_id").agg(F.map_from_entries(F.collect_list(F.struct("palavra", "lida"))).alias("lidas"))
+    lists = ranked(values, noisy, candidates).groupBy("campo", "registro_id").agg(F.map_from_entries(F.collect_list(F.struct("palavra", "lida"))).alias("lidas"))
     halves = noisy.select("campo", "registro_id", F.explode(F.regexp_extract_all("texto", F.lit(_SPLIT_SQL), F.lit(0))).alias("s"))
     whole = F.lower(F.regexp_replace("s", r"[-‐‑¬­][ \t]*\r?\n[ \t]*", "")).alias("palavra")
     halves = halves.select("campo", "registro_id", whole).join(joins, "palavra").groupBy("campo", "registro_id").agg(F.collect_set("palavra").alias("juntas"))

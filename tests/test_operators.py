@@ -279,3 +279,24 @@ def test_search_and_upgrade(spark):
     up = schemas.upgrade(q.withColumn("extra", F.lit(1)), "questoes")
     assert up.columns[: len(schemas.TABLES["questoes"].names)] == schemas.TABLES["questoes"].names and up.columns[-1] == "extra"
     assert relational.with_options(q, spark.createDataFrame([], "questao_id long, letra string, texto string")).where("size(opcoes) = 0").count() == 4
+
+
+def test_printed_forms(spark):
+    from quaestio.operators import printed
+
+    def one(f, t):
+        return spark.createDataFrame([(t,)], "t string").select(f(F.col("t")).alias("r")).first().r
+
+    assert one(printed.canonical_format, "Questão Nº 07:\nTexto\nⓐ um\nⓑ dois") == "QUESTÃO 7\nTexto\nA) um\nB) dois"
+    assert one(printed.canonical_format, "ⓐ sozinha") == "ⓐ sozinha"
+    assert one(printed.canonical_format, "A\num\nB\ndois\nC\ntrês") == "A) um\nB) dois\nC) três"
+    assert one(printed.canonical_format, "A) □ um") == "A) um" and one(printed.canonical_format, "A. ☑ um") == "A. um"
+    assert one(printed.break_inline_markers, "fim do texto QUESTÃO 12. Nova") == "fim do texto\nQUESTÃO 12. Nova"
+    assert one(printed.break_inline_markers, "no parágrafo 7. Depois") == "no parágrafo 7. Depois"
+    assert one(printed.break_inline_markers, "A) um B) dois 3. Nova") == "A) um B) dois\n3. Nova"
+    assert one(printed.without_front_matter, "Capa\nLíngua Portuguesa\n1. Texto") == "Língua Portuguesa\n1. Texto"
+    assert one(printed.without_front_matter, "Capa\nsem título\n1. Texto") == "Capa\nsem título\n1. Texto"
+    cells = spark.createDataFrame([(1, ["12", "B"]), (1, ["2026", "A"]), (1, ["13", "X", None]), (1, []), (1, None)], "doc int, celulas array<string>")
+    assert sorted((r.numero, r.resposta) for r in printed.cell_pairs(cells).collect()) == [(12, "B"), (13, "X")]
+    df = spark.createDataFrame([("a<b", "a>b"), (None, "x")], "a string, b string")
+    assert col(df.select(F.pandas_udf(printed.marked_difference, "string")("a", "b").alias("m")), "m") == ["a<del>&lt;</del><ins>&gt;</ins>b", None]

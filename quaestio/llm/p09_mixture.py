@@ -101,7 +101,7 @@ def mix(counted: DataFrame, goals: DataFrame, total_tokens: int | None = None, s
     part = (F.col("copia") - 1) * width + F.least(F.floor(unit * width), width - 1)
     queued = running_sum(queued, ["source"], part.cast("long"), ["copia", "_u", "doc_id"], "tokens", "_cum")
     timed = queued.withColumn("fim_virtual", F.col("_cum") / F.col("share"))
-    span = timed.select("fim_virtual", "tokens", "source", "doc_id", "copia")
+    span = materialize(timed.select("fim_virtual", "tokens", "source", "doc_id", "copia"))  # read three times
     horizon = _horizon(span, total_tokens)
     chosen = span.where(F.col("fim_virtual") <= F.lit(horizon))
     step = F.lit(max(horizon, 1.0) / buckets)

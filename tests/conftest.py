@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from quaestio.session import ship
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -13,5 +15,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()

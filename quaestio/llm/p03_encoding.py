@@ -57,7 +57,7 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
 NAMES = ["clean", *CHAINS, "lost"]
 _TOKEN = re.compile(r"[^ \t\r\n]+")
 _MARKED = re.compile(r"[^\W\d_]\?+[^\W\d_]")
-_ASCII_LETTER = re.compile(r"[A-Za-z]")
+_ACCENTED = re.compile(r"(?=[^\W\d_]{2})[^\W\d_]*[^\W\d_\x00-\x7F]")  # a word of two letters at least, one of them accented
 
 
 @lru_cache(maxsize=None)
@@ -184,7 +184,7 @@ _DDL = "campo string, registro_id long, texto string, trechos array<struct<inici
 
 
 def _span(text, start, end, chain, original, sure) -> dict:
-    lone = not _ASCII_LETTER.search(text[start:end])
+    lone = not sure and chain != "lost" and not _ACCENTED.search(original)
     return {"inicio": start, "fim": end, "cadeia": chain, "original": original, "certo": sure, "isolado": lone}
 
 
@@ -240,13 +240,17 @@ def verified_spans(values: DataFrame, corpus: DataFrame | None = None) -> DataFr
     spans = materialize(suspicious_spans(values, corpus))
     s = spans.select("campo", "registro_id", F.posexplode("trechos").alias("k", "t")).select("campo", "registro_id", "k", "t.*")
     parts = F.filter(F.regexp_extract_all(F.lower("original"), F.lit(r"([\p{L}?]*[\p{L}][\p{L}?]*)"), F.lit(1)), lambda w: w.rlike(r"[^\x00-\x7F]|\?"))
-    word = s.withColumn("chave", F.explode_outer(F.when(F.size(parts) > 0, parts)))
+    word = s.withColumn("parte", F.explode_outer(F.when(F.size(parts) > 0, parts)))
+    # a word may keep some of its accented letters: it is looked up without any, and must agree with those
+    word = word.withColumn("chave", F.when(F.contains("parte", F.lit("?")), pattern(F.col("parte"))).otherwise(F.col("parte")))
     known = word.join(corpus_words(corpus), "chave", "left")
+    agrees = F.rlike("palavra", F.concat(F.lit("^"), F.replace("parte", F.lit("?"), F.lit(".")), F.lit("$")))
+    known = known.withColumn("palavra", F.when(agrees, F.col("palavra")))
     agg = known.groupBy("campo", "registro_id", "k").agg(
         F.first("inicio").alias("inicio"), F.first("fim").alias("fim"), F.first("cadeia").alias("cadeia"),
         F.first("original").alias("original"), F.first("certo").alias("certo"), F.first("isolado").alias("isolado"),
-        F.count("chave").alias("n"), F.count("palavra").alias("conhecidas"),
-        F.map_from_entries(F.filter(F.collect_set(F.struct("chave", "palavra")), lambda x: x["palavra"].isNotNull() & x["chave"].contains("?"))).alias("lidas"),
+        F.count("parte").alias("n"), F.count("palavra").alias("conhecidas"),
+        F.map_from_entries(F.filter(F.collect_set(F.struct("parte", "palavra")), lambda x: x["palavra"].isNotNull() & x["parte"].contains("?"))).alias("lidas"),
     )
     found = agg.where("certo OR (n > 0 AND n = conhecidas)")
     # a lone symbol, such as a Greek letter in a formula, needs a word garbled by the same chain beside it

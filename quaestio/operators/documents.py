@@ -29,14 +29,19 @@ def profiles(sources: DataFrame) -> DataFrame:
 
 
 def funnel(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(caderno, gabarito, pontos, decisao, eliminado_em) of pairs that share a code or a word of the role.
+    """(caderno, gabarito, pontos, decisao, eliminado_em) of pairs that share a code or may share a role.
 
-    Only such pairs can become candidates by these stages, so documents meet by those keys, never all
-    with all. A stage where both sides say something different ends the pair.
+    Roles may be one label only if they are equal or have two words in common, so documents meet by
+    codes, whole labels and pairs of words, never all with all and not by one frequent word. A stage
+    where both sides say something different ends the pair.
     """
 
     def keyed(p: DataFrame) -> DataFrame:
-        keys = F.concat(F.array_compact(F.array(F.col("codigo"))), F.coalesce("palavras", F.array().cast("array<string>")))
+        w = F.coalesce("palavras", F.array().cast("array<string>"))
+        after = lambda i: F.slice(w, i + 2, F.greatest(F.size(w) - i - 1, F.lit(0)))
+        two = F.flatten(F.transform(w, lambda x, i: F.transform(after(i), lambda y: F.concat(F.lit("2:"), x, F.lit(" "), y))))
+        whole = F.when(F.size(w) > 0, F.concat(F.lit("1:"), F.array_join(w, " ")))
+        keys = F.concat(F.array_compact(F.array(F.concat(F.lit("0:"), "codigo"), whole)), two)
         return p.select("doc", F.explode(F.array_distinct(keys)).alias("chave"))
 
     pairs = keyed(left).toDF("caderno", "chave").join(keyed(right).toDF("gabarito", "chave"), "chave").select("caderno", "gabarito").distinct()

@@ -29,7 +29,7 @@ def label_overlap(spark, d):
 
 _P = f"""p AS (SELECT id AS doc, tipo, upper(trim(identificacao_prova)) AS codigo, ano, versao, CASE WHEN cargo IS NOT NULL THEN {_TOK.format(_ACC.format('cargo'))} END AS w FROM documentos_fonte),
 j AS (SELECT a.doc AS caderno, b.doc AS gabarito, a.codigo AS ca, b.codigo AS cb, a.ano = b.ano AS mesmo_ano, a.versao AS va, b.versao AS vb, a.w AS wa, b.w AS wb FROM p a JOIN p b ON a.tipo = 'caderno' AND b.tipo = 'gabarito'
- AND (a.codigo = b.codigo OR len(list_intersect(list_concat(coalesce(a.w, []), CASE WHEN a.codigo IS NOT NULL THEN [a.codigo] ELSE [] END), list_concat(coalesce(b.w, []), CASE WHEN b.codigo IS NOT NULL THEN [b.codigo] ELSE [] END))) > 0)),
+ AND (a.codigo = b.codigo OR (a.w = b.w AND len(a.w) > 0) OR len(list_intersect(a.w, b.w)) >= 2)),
 o AS (SELECT *, coalesce(wa = wb OR (len(list_intersect(wa, wb)) >= 2 AND least(len(list_intersect(wa, wb)) / greatest(len(wa), 1), len(list_intersect(wa, wb)) / greatest(len(wb), 1)) >= 0.75), false) AS mw FROM j),
 s AS (SELECT caderno, gabarito, ca = cb AS mc, va = vb AS mv, wa IS NOT NULL AND wb IS NOT NULL AND mw AS mr, (20 + CASE WHEN ca = cb THEN 60 ELSE 0 END + CASE WHEN mesmo_ano THEN 12 ELSE 0 END + CASE WHEN va = vb THEN 25 ELSE 0 END + CASE WHEN wa IS NOT NULL AND wb IS NOT NULL AND mw THEN 30 ELSE 0 END)::INTEGER AS pontos,
  CASE WHEN ca <> cb THEN 'identificadores' WHEN va <> vb THEN 'modelo_versao' WHEN wa IS NOT NULL AND wb IS NOT NULL AND NOT mw THEN 'cargo' END AS eliminado_em FROM o),

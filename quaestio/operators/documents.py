@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestio.functions.catalogs import ROLE_STOP
 from quaestio.functions.text import accent_key, comparison_text, key_tokens
+from quaestio.session import spread
 
 #: The points of each stage, and the least points of a candidate.
 POINTS = {"familia": 10, "codigo": 60, "orgao": 25, "ano": 12, "versao": 25, "cargo": 30, "leiaute": 10, "faixa": 20, "faixa_parcial": 8}
@@ -28,26 +29,16 @@ def profiles(sources: DataFrame) -> DataFrame:
     )
 
 
-def funnel(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(caderno, gabarito, pontos, decisao, eliminado_em) of pairs that share a code or may share a role.
+def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    of = ("doc", "codigo", "ano", "versao", "palavras")
+    return left.select(*[F.col(c).alias(f"{c}_a") for c in of]), right.select(*[F.col(c).alias(f"{c}_b") for c in of])
 
-    Roles may be one label only if they are equal or have two words in common, so documents meet by
-    codes, whole labels and pairs of words, never all with all and not by one frequent word. A stage
-    where both sides say something different ends the pair.
-    """
 
-    def keyed(p: DataFrame) -> DataFrame:
-        w = F.coalesce("palavras", F.array().cast("array<string>"))
-        after = lambda i: F.slice(w, i + 2, F.greatest(F.size(w) - i - 1, F.lit(0)))
-        two = F.flatten(F.transform(w, lambda x, i: F.transform(after(i), lambda y: F.concat(F.lit("2:"), x, F.lit(" "), y))))
-        whole = F.when(F.size(w) > 0, F.concat(F.lit("1:"), F.array_join(w, " ")))
-        keys = F.concat(F.array_compact(F.array(F.concat(F.lit("0:"), "codigo"), whole)), two)
-        return p.select("doc", F.explode(F.array_distinct(keys)).alias("chave"))
+def _scored(pairs: DataFrame) -> DataFrame:
+    """(caderno, gabarito, pontos, decisao, eliminado_em) of pairs of profiles.
 
-    pairs = keyed(left).toDF("caderno", "chave").join(keyed(right).toDF("gabarito", "chave"), "chave").select("caderno", "gabarito").distinct()
-    a = left.select(*[F.col(c).alias(f"{c}_a") for c in ("doc", "codigo", "ano", "versao", "palavras")])
-    b = right.select(*[F.col(c).alias(f"{c}_b") for c in ("doc", "codigo", "ano", "versao", "palavras")])
-    j = pairs.join(a, F.col("caderno") == F.col("doc_a")).join(b, F.col("gabarito") == F.col("doc_b"))
+    A stage where both sides say something different ends the pair.
+    """
 
     def stage(x: Column, y: Column, same: Column) -> tuple[Column, Column]:
         both = x.isNotNull() & y.isNotNull()
@@ -61,7 +52,37 @@ def funnel(left: DataFrame, right: DataFrame) -> DataFrame:
     points = sum((F.when(c, POINTS[n]).otherwise(0) for n, c in (("codigo", code[0]), ("ano", year), ("versao", version[0]), ("cargo", role[0]))), F.lit(POINTS["familia"] + POINTS["leiaute"]))
     strong = (points >= STRONG) & code[0] & (version[0] | role[0])
     decision = F.when(out.isNotNull(), "descartada").when(strong, "candidato_forte_revisao").when(points >= CANDIDATE, "candidato_revisao").otherwise("revisao_manual")
-    return j.select("caderno", "gabarito", points.cast("int").alias("pontos"), decision.alias("decisao"), out.alias("eliminado_em"))
+    return pairs.select(F.col("doc_a").alias("caderno"), F.col("doc_b").alias("gabarito"), points.cast("int").alias("pontos"), decision.alias("decisao"), out.alias("eliminado_em"))
+
+
+def funnel_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The scores of every booklet with every key, as any of them may be left over at the end of the funnel.
+
+    The result is as large as both sides multiplied. Booklets are spread over the tasks; ``left`` is a scan.
+    """
+    a, b = _sides(left, right)
+    return _scored(spread(a).crossJoin(b))
+
+
+def funnel(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The scores of pairs that share a code or may share a role, and of no others.
+
+    Roles may be one label only if they are equal or have two words in common, so documents meet by
+    codes, whole labels and pairs of words, never all with all and not by one frequent word. Pairs that
+    reach the points of a candidate by version and year alone are not among them; ``funnel_all`` has all.
+    """
+
+    def keyed(p: DataFrame) -> DataFrame:
+        w = F.coalesce("palavras", F.array().cast("array<string>"))
+        after = lambda i: F.slice(w, i + 2, F.greatest(F.size(w) - i - 1, F.lit(0)))
+        two = F.flatten(F.transform(w, lambda x, i: F.transform(after(i), lambda y: F.concat(F.lit("2:"), x, F.lit(" "), y))))
+        whole = F.when(F.size(w) > 0, F.concat(F.lit("1:"), F.array_join(w, " ")))
+        keys = F.concat(F.array_compact(F.array(F.concat(F.lit("0:"), "codigo"), whole)), two)
+        return p.select("doc", F.explode(F.array_distinct(keys)).alias("chave"))
+
+    pairs = keyed(left).toDF("caderno", "chave").join(keyed(right).toDF("gabarito", "chave"), "chave").select("caderno", "gabarito").distinct()
+    a, b = _sides(left, right)
+    return _scored(pairs.join(a, F.col("caderno") == F.col("doc_a")).join(b, F.col("gabarito") == F.col("doc_b")))
 
 
 def top_candidates(scored: DataFrame, n: int) -> DataFrame:

@@ -38,12 +38,12 @@ f AS (SELECT caderno, gabarito, pontos, eliminado_em, CASE WHEN eliminado_em IS
 
 def _scores(spark, d):
     p = D.profiles(table(spark, d, "documentos_fonte"))
-    return D.funnel(p.where("tipo = 'caderno'"), p.where("tipo = 'gabarito'"))
+    return D.funnel_all(p.where("tipo = 'caderno'"), p.where("tipo = 'gabarito'"))
 
 
 @query(f"WITH {_P} SELECT * FROM f")
 def funnel_scores(spark, d):
-    """Booklets and keys that share an identifier, scored in stages."""
+    """Every booklet with every key, scored in stages."""
     return _scores(spark, d)
 
 

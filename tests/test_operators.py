@@ -273,6 +273,24 @@ def test_funnel_discards(spark):
     assert got == {2: (147, "candidato_forte_revisao"), 3: (87, "descartada"), 4: (122, "descartada"), 6: (80, "candidato_revisao")}
 
 
+def test_funnel_queries_score_every_pair(spark, tmp_path):
+    from quaestio.plans import catalog
+
+    rows = [(1, "caderno", "P1", None, 2020, "1"), (2, "caderno", None, "Analista de Redes", 2020, None), (3, "caderno", None, None, None, None)]
+    rows += [(4, "gabarito", None, "Analista de Redes", 2020, "1"), (5, "gabarito", None, None, None, "1"), (6, "gabarito", "P2", None, 2020, "1"), (7, "gabarito", None, "Técnico de Som", None, None), (8, "gabarito", None, None, 2020, "2")]
+    spark.createDataFrame(rows, "id long, tipo string, identificacao_prova string, cargo string, ano int, versao string").write.parquet(f"{tmp_path}/documentos_fonte.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    got = {(r.caderno, r.gabarito): (r.pontos, r.eliminado_em) for r in run("funnel_scores")}
+    assert got == {
+        (1, 4): (57, None), (1, 5): (45, None), (1, 6): (57, "identificadores"), (1, 7): (20, None), (1, 8): (32, "modelo_versao"),
+        (2, 4): (62, None), (2, 5): (20, None), (2, 6): (32, None), (2, 7): (20, "cargo"), (2, 8): (32, None),
+        (3, 4): (20, None), (3, 5): (20, None), (3, 6): (20, None), (3, 7): (20, None), (3, 8): (20, None),
+    }
+    assert {tuple(r) for r in run("funnel_survivors")} == {(1, 5, 4, 3, 3), (2, 5, 5, 5, 4), (3, 5, 5, 5, 5)}
+    best = sorted((r.caderno, r.posicao, r.gabarito) for r in run("top_candidates"))
+    assert best == [(1, 1, 4), (1, 2, 5), (1, 3, 7), (2, 1, 4), (2, 2, 6), (2, 3, 8), (2, 4, 5), *[(3, k, k + 3) for k in range(1, 6)]]
+
+
 def test_search_and_upgrade(spark):
     q = spark.createDataFrame([(1, "O Contrato", True, "x"), (2, "contrato", False, "x"), (3, None, True, "x"), (4, "contrato", True, None)], "id long, enunciado string, ativa boolean, banca string")
     assert col(relational.search(q, "CONTRATO", {"banca": "x", "ano": None}), "id") == [1]

@@ -38,7 +38,7 @@ def split(examples: DataFrame, id_col: str, keys: list[str], every: int = 5) ->
     """
     edges = component_edges(examples, id_col, keys)
     linked = connected_components(edges, "a", "b").withColumnRenamed("node", id_col)
-    e = examples.select(id_col).join(linked, id_col, "left").withColumn("componente", F.coalesce("component", id_col)).drop("component")
+    e = examples.select(id_col).distinct().join(linked, id_col, "left").withColumn("componente", F.coalesce("component", id_col)).drop("component")
     comps = e.select("componente").distinct()
     ranked = rank_globally(comps, "componente")
     n = comps.count()

@@ -1,4 +1,4 @@
-"""Queries over curated examples and evaluation. An example is a question with an image; its group is its exam."""
+"""Queries over curated examples and evaluation. An example is a question with an image; its group is its exam, its source the document of that."""
 
 from __future__ import annotations
 
@@ -16,14 +16,10 @@ FROM questoes q JOIN prova_cadastrada_questoes l ON l.questao_id = q.id JOIN pro
 
 
 def _examples(spark, d):
-    p = table(spark, d, "provas_cadastradas").select(F.col("id").alias("prova_cadastrada_id"), F.col("documento_fonte_questoes_id").alias("f"))
-    q = table(spark, d, "questoes").where("id % 2 = 0").select("id", "tipo")
-    j = q.join(table(spark, d, "prova_cadastrada_questoes").select(F.col("questao_id").alias("id"), "prova_cadastrada_id"), "id").join(p, "prova_cadastrada_id")
-    i = F.col("id")
-    return j.select(
-        "id", F.concat(F.lit("img-"), (i % 211).cast("string")).alias("imagem"), F.when(i % 3 == 0, F.col("prova_cadastrada_id") * 10 + i % 10).alias("grupo"),
-        F.when(i % 4 == 0, F.col("f") * 100 + i % 50).alias("fonte"), F.col("tipo").alias("rotulo"),
-    )
+    p = table(spark, d, "provas_cadastradas").select(F.col("id").alias("grupo"), F.col("documento_fonte_questoes_id").alias("fonte"))
+    l = table(spark, d, "prova_cadastrada_questoes").select(F.col("questao_id").alias("id"), F.col("prova_cadastrada_id").alias("grupo")).join(p, "grupo")  # noqa: E741
+    q = table(spark, d, "questoes").select("id", F.col("tipo").alias("rotulo")).join(l, "id", "left")
+    return q.select("id", F.concat(F.lit("img-"), (F.col("id") % 211).cast("string")).alias("imagem"), "grupo", "fonte", "rotulo")
 
 
 @query(f"WITH {_EX} SELECT imagem, min(rotulo) AS rotulo, array_to_string(list_sort(list_distinct(list(grupo) FILTER (grupo IS NOT NULL))), ',') AS grupos, CASE WHEN min(rotulo) = max(rotulo) THEN 'ok' ELSE 'conflito' END AS situacao FROM x GROUP BY 1")
@@ -51,7 +47,7 @@ def split_readiness(spark, d):
     """Size of each part."""
     x = _examples(spark, d)
     j = U.split(x, "id", ["grupo", "fonte"]).join(x.select("id", "grupo", "fonte"), "id")
-    return j.groupBy("particao").agg(F.count("*").alias("n"), *[F.countDistinct(c).alias(a) for c, a in (("componente", "n_componentes"), ("grupo", "n_grupos"), ("fonte", "n_fontes"))])
+    return j.groupBy("particao").agg(F.countDistinct("id").alias("n"), *[F.countDistinct(c).alias(a) for c, a in (("componente", "n_componentes"), ("grupo", "n_grupos"), ("fonte", "n_fontes"))])
 
 
 @query(f"{_COMP}, y AS (SELECT * FROM z JOIN x USING (id)) SELECT 'grupo' AS chave, count(*) AS n FROM (SELECT grupo FROM y WHERE grupo IS NOT NULL GROUP BY 1 HAVING count(DISTINCT particao) > 1) UNION ALL SELECT 'fonte', count(*) FROM (SELECT fonte FROM y WHERE fonte IS NOT NULL GROUP BY 1 HAVING count(DISTINCT particao) > 1)")
@@ -67,7 +63,7 @@ def split_leaks(spark, d):
 def export_manifest(spark, d):
     """The manifest of an export as JSON lines: lines of each part and a digest of them that no order changes."""
     x = _examples(spark, d)
-    j = U.split(x, "id", ["grupo", "fonte"]).join(x.select("id", "rotulo"), "id").select("particao", F.sha2(F.to_json(F.struct("id", "rotulo")), 256).alias("h"))
+    j = U.split(x, "id", ["grupo", "fonte"]).join(x.select("id", "rotulo").distinct(), "id").select("particao", F.sha2(F.to_json(F.struct("id", "rotulo")), 256).alias("h"))
     digest = F.sum(F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(20,0)")).cast("string")
     return j.groupBy("particao").agg(F.count("*").alias("linhas"), digest.alias("digesto"))
 

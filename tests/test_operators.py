@@ -215,6 +215,25 @@ def test_components_and_split(spark):
     assert [r.particao for r in one] == ["treino", "treino"]
 
 
+def test_curation_queries_take_every_question(spark, tmp_path):
+    """Exams 1 and 2 share a source and exam 3 stands alone; question 9 is in two exams, 41 in none."""
+    from quaestio.plans import catalog
+
+    exam = {**{k: 1 for k in range(1, 21)}, **{k: 2 for k in range(21, 31)}, **{k: 3 for k in range(31, 41)}}
+    spark.createDataFrame([(k, "certo_errado") for k in range(1, 42)], "id long, tipo string").write.parquet(f"{tmp_path}/questoes.parquet")
+    spark.createDataFrame([(p, q) for q, p in exam.items()] + [(2, 9)], "prova_cadastrada_id long, questao_id long").write.parquet(f"{tmp_path}/prova_cadastrada_questoes.parquet")
+    spark.createDataFrame([(1, 70), (2, 70), (3, 71)], "id long, documento_fonte_questoes_id long").write.parquet(f"{tmp_path}/provas_cadastradas.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    parts = [(r.id, r.componente, r.particao) for r in run("components_split")]
+    assert sorted(parts) == [(k, 1 if k <= 30 else 31 if k <= 40 else 41, "validacao" if k <= 30 else "treino") for k in range(1, 42)]
+    assert {r.chave: r.n for r in run("split_leaks")} == {"grupo": 0, "fonte": 0}
+    ready = {r.particao: (r.n_componentes, r.n_grupos, r.n_fontes) for r in run("split_readiness")}
+    assert ready == {"validacao": (1, 2, 1), "treino": (2, 1, 1)}
+    assert {r.imagem: r.grupos for r in run("lineage_merge")} == {f"img-{k}": {9: "1,2", 41: None}.get(k, str(exam.get(k))) for k in range(1, 42)}
+    assert {r.particao: r.linhas for r in run("export_manifest")} == {"validacao": 30, "treino": 11}
+    assert {r.particao: r.n for r in run("split_readiness")} == {"validacao": 30, "treino": 11}
+
+
 def test_lineage_conflict(spark):
     df = spark.createDataFrame([("i1", "a", 1, None), ("i1", "a", 2, "s"), ("i2", "a", 1, "s"), ("i2", "b", 1, "s")], "imagem string, rotulo string, grupo int, fonte string")
     got = {r.imagem: (r.situacao, r.grupos) for r in curation.merge_lineage(df, "imagem", "rotulo").collect()}

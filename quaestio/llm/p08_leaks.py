@@ -17,6 +17,7 @@ empty tables give an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from functools import reduce
@@ -32,8 +33,12 @@ from quaestio.session import spread, table
 WINDOW = 12  # words: the shortest passage to report
 STEPS = 3 * WINDOW  # length of a walk
 SAMPLED = 7  # positions of a walk in one hash
-REPETITIONS = 4
 MAX_EDITS = 2  # words by which a window may differ in ``p8_edited``
+RECALL = 0.9  # of single windows with ``MAX_EDITS`` edits, the least that ``p8_edited`` is to find
+#: The chance that one repetition joins two windows with two changed words. Measured over every pair of places (3,000 windows each,
+#: 40 repetitions), the least is 0.15 and the mean 0.20; it is taken lower, as the few repetitions used may be worse than their mean.
+MEETS = 0.14
+REPETITIONS = math.ceil(math.log(1 - RECALL) / math.log(1 - MEETS))
 ITEM_BLOCK = 20_000
 SEED = 20_240_801
 #: Combining marks of the first plane; a class of these alone is matched by table, so the rare others go one by one.

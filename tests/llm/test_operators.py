@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out cases."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -336,6 +337,42 @@ def test_leaks_and_recall(spark):
     assert exact <= near and len(near & edited) >= 0.9 * len(edited)
 
 
+def test_recall_of_single_windows(spark):
+    """Two edits in passages of 12 to 14 words, wherever they are: nine of ten windows that brute force finds."""
+    rng = random.Random(17)
+    word = lambda: f"p{rng.randrange(10**9)}"
+    items, docs = [], []
+    for size in (12, 13, 14):
+        for a, b in itertools.combinations(range(size), 2):
+            for kinds in ("ss", "s-", "+s", "i"):
+                k, part = len(items), [word() for _ in range(size)]
+                items.append((k, " ".join(part)))
+                if kinds == "i":
+                    part.insert(a, word())
+                for at, kind in ((b, kinds[-1]), (a, kinds[0])):
+                    if kind == "s":
+                        part[at] = word()
+                    elif kind == "-":
+                        del part[at]
+                    elif kind == "+":
+                        part.insert(at, word())
+                docs.append((k, size, kinds, [word() for _ in range(14)] + part + [word() for _ in range(14)]))
+    found = {r.doc_id: r.janelas for r in p8.leaked(spark.createDataFrame([(k, " ".join(w)) for k, _, _, w in docs], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, texto string"), p8.MAX_EDITS).collect()}
+
+    def windows(w):
+        return np.lib.stride_tricks.sliding_window_view(p8.word_hashes(" ".join(w), {}), p8.WINDOW)
+
+    true, got = Counter(), Counter()
+    for k, size, kinds, w in docs:
+        d, i = windows(w), windows(items[k][1].split())
+        near = p8.edit_distances(np.repeat(d, len(i), 0), np.tile(i, (len(d), 1))).reshape(len(d), -1).min(1) <= p8.MAX_EDITS
+        assert found.get(k, 0) <= near.sum()
+        true[size, kinds] += int(near.sum())
+        got[size, kinds] += found.get(k, 0)
+    assert true[12, "ss"] >= 60 and {s for s, _ in got} == {12, 13, 14}
+    assert {c: got[c] / n for c, n in true.items() if n >= 60 and got[c] < 0.9 * n} == {}
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(p8, "ITEM_BLOCK", 7)
     words = [" ".join(f"w{k}x{j}" for j in range(15)) for k in range(30)]

@@ -28,19 +28,16 @@ def format_canonical(spark, d):
 
 @query(r"SELECT id, regexp_replace(enunciado, '\s+', ' ', 'g') || chr(10) || 'QUESTÃO 9. Outra pergunta' AS texto FROM questoes WHERE NOT regexp_matches(enunciado, '(?i)quest') AND NOT regexp_matches(enunciado, '[A-Ea-e]\)') AND regexp_matches(enunciado, '\S$') AND regexp_matches(enunciado, '^\S')")
 def inline_marker_break(spark, d):
-    """A question marker run into the line before it gets its own line."""
-    e = F.col("enunciado")
-    q = table(spark, d, "questoes").where(~e.rlike("(?i)quest") & ~e.rlike(r"[A-Ea-e]\)") & e.rlike(r"\S$") & e.rlike(r"^\S"))
-    t = F.concat(F.regexp_replace("enunciado", r"\s+", " "), F.lit(" QUESTÃO 9. Outra pergunta"))
-    return q.select("id", P.break_inline_markers(t).alias("texto"))
+    """Question markers run into the line before them get their own line: those in stems as stored, and one behind each."""
+    t = F.concat("enunciado", F.lit(" QUESTÃO 9. Outra pergunta"))
+    return table(spark, d, "questoes").select("id", P.break_inline_markers(t).alias("texto"))
 
 
 @query("SELECT id, 'Atualidades' || chr(10) || '1. ' || upper(regexp_replace(enunciado, '[^a-zA-Z ]', '', 'g')) AS texto FROM questoes WHERE regexp_matches(enunciado, '^[A-Z]')")
 def front_matter_removed(spark, d):
-    """A booklet without its cover."""
-    q = table(spark, d, "questoes").where(F.col("enunciado").rlike("^[A-Z]"))
-    body = F.concat(F.lit("1. "), F.upper(F.regexp_replace("enunciado", "[^a-zA-Z ]", "")))
-    return q.select("id", P.without_front_matter(F.concat(F.lit("Leia as instruções\n01 - não vire\nAtualidades\n"), body)).alias("texto"))
+    """A booklet without its cover; its body is a stem as stored."""
+    t = F.concat(F.lit("Leia as instruções\n01 - não vire\nAtualidades\n1. "), "enunciado")
+    return table(spark, d, "questoes").select("id", P.without_front_matter(t).alias("texto"))
 
 
 @query(f"WITH {_KEYS} SELECT doc, numero, CASE g WHEN 'X' THEN 'Anulada' ELSE g END AS resposta FROM k WHERE length(g) = 1 AND numero BETWEEN 1 AND 200")

@@ -337,3 +337,16 @@ def test_printed_forms(spark):
     assert sorted((r.numero, r.resposta) for r in printed.cell_pairs(cells).collect()) == [(12, "B"), (13, "X")]
     df = spark.createDataFrame([("a<b", "a>b"), (None, "x")], "a string, b string")
     assert col(df.select(F.pandas_udf(printed.marked_difference, "string")("a", "b").alias("m")), "m") == ["a<del>&lt;</del><ins>&gt;</ins>b", None]
+
+
+def test_printed_queries_take_stems_as_stored(spark, tmp_path):
+    from quaestio.plans import catalog
+
+    stems = ["Nesta questão, avalie.", "Fim do texto QUESTÃO 8. Nova", "Marque a) um b) dois 3. Outra", " com  brancos ", "Água a 10 %: x", "o texto", "o texto\n2. Outra", None]
+    spark.createDataFrame(list(enumerate(stems)), "id long, enunciado string").write.parquet(f"{tmp_path}/questoes.parquet")
+    run = lambda name: {r.id: r.texto for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    last, cover = "\nQUESTÃO 9. Outra pergunta", "Leia as instruções\n01 - não vire\n"
+    broken = {1: "Fim do texto\nQUESTÃO 8. Nova", 2: "Marque a) um b) dois\n3. Outra", 3: " com  brancos"}
+    assert run("inline_marker_break") == {k: t and broken.get(k, t) + last for k, t in enumerate(stems)}
+    # a marker is a number before a capital, so covers of stems that begin otherwise stay
+    assert run("front_matter_removed") == {k: t and cover * (k in (3, 5)) + "Atualidades\n1. " + t for k, t in enumerate(stems)}

@@ -88,6 +88,13 @@ def content_anchor_match(spark, d):
     return D.anchor_match(a.where("id % 2 = 0"), a.where("id % 2 = 1"))
 
 
+@query()
+def ordered_anchor(spark, d):
+    """Documents that begin with the first words of an evaluation item, some of them skipped or misread."""
+    items = table(spark, d, "itens_avaliacao").select(F.col("item_id").alias("ref_id"), "texto")
+    return D.ordered_anchor(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("texto")), items)
+
+
 @query(f"""WITH k AS (SELECT campo, {_ACC.format('nome')} AS c, min(ref_id) AS ref_id, count(*) AS n FROM lista_canonica GROUP BY 1, 2)
 SELECT q.id, 'banca' AS campo, CASE WHEN n = 1 THEN ref_id END AS ref_id, CASE WHEN n IS NULL THEN 'ausente' WHEN n > 1 THEN 'ambigua' ELSE 'encontrada' END AS situacao FROM questoes q LEFT JOIN k ON k.campo = 'banca' AND k.c = {_ACC.format('q.banca')} WHERE q.banca IS NOT NULL""")
 def catalogue_lookup(spark, d):

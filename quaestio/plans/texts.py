@@ -180,11 +180,11 @@ def path_keys(spark, d):
 AND length({_ACC.format('q.disciplina')}) > 0 AND ascii({_ACC.format('q.disciplina')}) < 128 AND substr({_ACC.format('q.disciplina')}, 1, 1) = substr({_ACC.format('l.nome')}, 1, 1)
 AND length(l.nome) BETWEEN length({_ACC.format('q.disciplina')}) - 2 AND length({_ACC.format('q.disciplina')}) + 2 AND levenshtein({_ACC.format('q.disciplina')}, {_ACC.format('l.nome')}) BETWEEN 1 AND 2 AND NOT regexp_matches({_ACC.format('q.disciplina')}, '[^ -~]')""")
 def fuzzy_anchor(spark, d):
-    """Names of the list within two edits of a typed subject; first letters and lengths bound the comparisons."""
-    q = table(spark, d, "questoes").select("id", X.accent_key(F.col("disciplina")).alias("a")).where("a <> '' AND NOT a rlike '[^ -~]'")
-    q = q.groupBy("a").agg(F.collect_list("id").alias("ids")).withColumn("c", F.substring("a", 1, 1))
+    """Names of the list within two edits of a typed subject; lengths bound the comparisons."""
+    q = table(spark, d, "questoes").select("id", X.accent_key(F.col("disciplina")).alias("a")).where("a <> ''")
+    q = q.groupBy("a").agg(F.collect_list("id").alias("ids")).withColumn("n", F.explode(F.sequence(F.length("a") - 2, F.length("a") + 2)))
     c = table(spark, d, "lista_canonica").where("campo = 'disciplina'").select("ref_id", X.accent_key(F.col("nome")).alias("b"))
-    j = q.join(c.withColumn("c", F.substring("b", 1, 1)), "c").where(F.abs(F.length("a") - F.length("b")) <= 2)
+    j = q.join(c.withColumn("n", F.length("b")), "n")
     j = j.withColumn("distancia", F.levenshtein("a", "b")).where("distancia BETWEEN 1 AND 2")
     return j.select(F.explode("ids").alias("id"), "ref_id", "distancia")
 

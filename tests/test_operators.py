@@ -350,3 +350,26 @@ def test_printed_queries_take_stems_as_stored(spark, tmp_path):
     assert run("inline_marker_break") == {k: t and broken.get(k, t) + last for k, t in enumerate(stems)}
     # a marker is a number before a capital, so covers of stems that begin otherwise stay
     assert run("front_matter_removed") == {k: t and cover * (k in (3, 5)) + "Atualidades\n1. " + t for k, t in enumerate(stems)}
+
+
+def test_ordered_anchor(spark, tmp_path):
+    from quaestio.plans import catalog
+
+    item = "O contador do município examinou as contas anuais da autarquia federal em detalhe"
+    texts = {
+        1: "O CONTADOR do muni-\ncípio examinou as contas anuais da autarquia", 2: "O contadur do municlplo examinou as contas anuais da autarquia", 3: "7 x O contador do município examinou as contas anuais da autarquia",
+        4: "O contador a do município b examinoo as contas anuais da autarquia", 5: "O contador a do b município c examinoo as contas anuais da autarquia", 6: "O contador da município examinou as contas anuais da autarquia",
+        7: "O do contador município examinou as contas anuais da autarquia", 8: f"{'z ' * 50}{item}", 9: f"{'z ' * 51}{item}", 10: "O contador do município examinou as contas anuais", 11: None, 12: "", 13: "curta demais", 14: "a b c O contadur do município examinou as contas anuais da autarquia",
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, "curta demai"), (3, None)], "item_id long, texto string").write.parquet(f"{tmp_path}/itens_avaliacao.parquet")
+    got = {(r.id, r.ref_id): r.ancora for r in catalog.queries()["ordered_anchor"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1): "exata", (2, 1): "aproximada", (3, 1): "exata", (4, 1): "aproximada", (8, 1): "exata"}
+
+
+def test_fuzzy_names_in_any_script_and_first_letter(spark, tmp_path):
+    from quaestio.plans import catalog
+
+    spark.createDataFrame([(1, "Lnglês"), (2, "Inglêsж"), (3, "inglês"), (4, ""), (5, None), (6, "Ingxxxs")], "id long, disciplina string").write.parquet(f"{tmp_path}/questoes.parquet")
+    spark.createDataFrame([(7, "disciplina", "Inglês")], "ref_id long, campo string, nome string").write.parquet(f"{tmp_path}/lista_canonica.parquet")
+    assert {tuple(r) for r in catalog.queries()["fuzzy_anchor"](spark, str(tmp_path)).collect()} == {(1, 7, 1), (2, 7, 1)}

@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestio.functions.catalogs import ROLE_STOP
-from quaestio.functions.text import accent_key, comparison_text, key_tokens
-from quaestio.session import spread
+from quaestio.functions.text import accent_key, comparison_text, key_tokens, version_label
+from quaestio.operators.skew import salted_join
+from quaestio.session import checkpoint, materialize, spread
 
-#: The points of each stage, and the least points of a candidate.
-POINTS = {"familia": 10, "codigo": 60, "orgao": 25, "ano": 12, "versao": 25, "cargo": 30, "leiaute": 10, "faixa": 20, "faixa_parcial": 8}
+#: The points of each stage that these documents tell of, and the least points of a strong and of any candidate.
+POINTS = {"familia": 10, "codigo": 60, "ano": 12, "versao": 25, "cargo": 30, "leiaute": 10}
 STRONG, CANDIDATE = 75, 35
+ANY, NONE = "*", "-"  # keys of a side without a value, and of a value met by a side without one
 
 
 def labels_overlap(a: Column, b: Column, least: int) -> Column:
@@ -27,15 +29,17 @@ def labels_overlap(a: Column, b: Column, least: int) -> Column:
 
 
 def profiles(sources: DataFrame) -> DataFrame:
-    """Source documents with what identifies them: code, words of the role, year, version."""
-    return sources.select(
-        F.col("id").alias("doc"), "tipo", F.upper(F.trim("identificacao_prova")).alias("codigo"), "ano", "versao",
-        F.when(F.col("cargo").isNotNull(), key_tokens(F.col("cargo"), ROLE_STOP)).alias("palavras"),
-    )
+    """Source documents with what identifies them: code, words of the role, year, version; blank ones are null. A small table, written once."""
+    words = key_tokens(F.col("cargo"), ROLE_STOP)
+    version = version_label(F.col("versao"))
+    return materialize(sources.select(
+        F.col("id").alias("doc"), "tipo", F.nullif(F.upper(F.trim("identificacao_prova")), F.lit("")).alias("codigo"), "ano",
+        F.nullif(version, F.lit("")).alias("versao"), F.when(F.size(words) > 0, words).alias("palavras"), F.array_join(words, " ").alias("papel"),
+    ))
 
 
 def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    of = ("doc", "codigo", "ano", "versao", "palavras")
+    of = ("doc", "codigo", "ano", "versao", "palavras", "papel")
     return left.select(*[F.col(c).alias(f"{c}_a") for c in of]), right.select(*[F.col(c).alias(f"{c}_b") for c in of])
 
 
@@ -60,39 +64,125 @@ def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("doc_a").alias("caderno"), F.col("doc_b").alias("gabarito"), points.cast("int").alias("pontos"), decision.alias("decisao"), out.alias("eliminado_em"))
 
 
-def funnel_all(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The scores of every booklet with every key, as any of them may be left over at the end of the funnel.
+def role_pairs(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
+    """(papel_a, papel_b) of the distinct roles of two sides that are one label.
 
-    The result is as large as both sides multiplied. Booklets are spread over the tasks; ``left`` is a scan.
+    Such labels are equal or have two words in common, so they meet by whole labels and by pairs of words.
     """
-    a, b = _sides(left, right)
-    return _scored(spread(a).crossJoin(b))
 
+    def keyed(side: DataFrame, x: str) -> DataFrame:
+        w = F.col(f"palavras_{x}")
+        after = lambda i: F.slice(w, i + 2, F.greatest(F.size(w) - i - 1, F.lit(0)))
+        two = F.flatten(F.transform(w, lambda y, i: F.transform(after(i), lambda z: F.concat(y, F.lit(" "), z))))
+        keys = F.array_append(two, F.concat(F.lit("= "), F.col(f"papel_{x}")))
+        return side.where(w.isNotNull()).select(f"papel_{x}", f"palavras_{x}").distinct().select("*", F.explode(keys).alias("_k"))
+
+    met = salted_join(keyed(a, "a"), keyed(b, "b"), ["_k"], most).drop("_k").distinct()
+    return checkpoint(met.where(labels_overlap(F.col("palavras_a"), F.col("palavras_b"), 2)).select("papel_a", "papel_b"))
 
-def funnel(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The scores of pairs that share a code or may share a role, and of no others.
 
-    Roles may be one label only if they are equal or have two words in common, so documents meet by
-    codes, whole labels and pairs of words, never all with all and not by one frequent word. Pairs that
-    reach the points of a candidate by version and year alone are not among them; ``funnel_all`` has all.
-    """
+def _open(value: Column) -> Column:
+    """Keys of the left side for "the right one has none, or I have none": each pair meets in one of them."""
+    return F.array(F.when(value.isNull(), ANY).otherwise(NONE))
+
+
+def _agrees(value: Column) -> Column:
+    """Keys of the left side for "equal, or one of us has none": each pair meets in one of them."""
+    return F.when(value.isNull(), F.array(F.lit(ANY))).otherwise(F.array(F.lit(NONE), F.concat(F.lit("="), value)))
+
+
+def _met(value: Column) -> Column:
+    """Keys of the right side, for both."""
+    return F.array(F.lit(ANY), F.when(value.isNull(), NONE).otherwise(F.concat(F.lit("="), value)))
+
+
+def _exploded(df: DataFrame, **keys: Column) -> DataFrame:
+    for name, values in keys.items():
+        df = df.withColumn(name, F.explode(values))
+    return df
 
-    def keyed(p: DataFrame) -> DataFrame:
-        w = F.coalesce("palavras", F.array().cast("array<string>"))
-        after = lambda i: F.slice(w, i + 2, F.greatest(F.size(w) - i - 1, F.lit(0)))
-        two = F.flatten(F.transform(w, lambda x, i: F.transform(after(i), lambda y: F.concat(F.lit("2:"), x, F.lit(" "), y))))
-        whole = F.when(F.size(w) > 0, F.concat(F.lit("1:"), F.array_join(w, " ")))
-        keys = F.concat(F.array_compact(F.array(F.concat(F.lit("0:"), "codigo"), whole)), two)
-        return p.select("doc", F.explode(F.array_distinct(keys)).alias("chave"))
 
-    pairs = keyed(left).toDF("caderno", "chave").join(keyed(right).toDF("gabarito", "chave"), "chave").select("caderno", "gabarito").distinct()
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(caderno, gabarito, pontos, decisao) of every pair of profiles that is a candidate: not discarded, CANDIDATE points or more.
+
+    A pair starts with 20 points and needs 15 more; the year adds 12, so it shares its code, its role or
+    its version. Three joins, no two of which give the same pair, hold all of these:
+
+    * equal codes;
+    * one label as roles, versions equal or missing, and a code missing (both given would be equal, which is
+      the first join, or different, which discards);
+    * equal versions, with a code missing and a role missing (both roles given would be one label, which is
+      the second join, or not, which discards).
+
+    Whether a value is missing is part of the join keys, so the second and third join give candidates only,
+    and frequent roles and versions are divided over tasks: the work grows with the result.
+    """
     a, b = _sides(left, right)
-    return _scored(pairs.join(a, F.col("caderno") == F.col("doc_a")).join(b, F.col("gabarito") == F.col("doc_b")))
+    most = a.count() * b.count()  # two documents meet under one key at most once
+    by_code = salted_join(a.where("codigo_a IS NOT NULL").withColumn("_k", F.col("codigo_a")), b.where("codigo_b IS NOT NULL").withColumn("_k", F.col("codigo_b")), ["_k"], most)
+    code_a, code_b = _open(F.col("codigo_a")), _met(F.col("codigo_b"))
+    roles = role_pairs(a, b, most)
+    r = salted_join(_exploded(a, _c=code_a, _v=_agrees(F.col("versao_a"))).join(roles, "papel_a"), _exploded(b, _c=code_b, _v=_met(F.col("versao_b"))).where("papel_b <> ''"), ["papel_b", "_c", "_v"], most)
+    role_a = _open(F.col("palavras_a"))
+    role_b = F.array(F.lit(ANY), F.when(F.col("palavras_b").isNull(), NONE).otherwise("="))
+    v = salted_join(
+        _exploded(a.where("versao_a IS NOT NULL"), _c=code_a, _r=role_a).withColumn("_v", F.col("versao_a")),
+        _exploded(b.where("versao_b IS NOT NULL"), _c=code_b, _r=role_b).withColumn("_v", F.col("versao_b")), ["_v", "_c", "_r"], most,
+    )
+    pairs = [p.select(*[c for c in (*a.columns, *b.columns)]) for p in (by_code, r, v)]
+    found = _scored(reduce(DataFrame.unionByName, pairs))
+    return found.where(F.col("eliminado_em").isNull() & (F.col("pontos") >= CANDIDATE)).drop("eliminado_em")
+
 
+def survivors(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(caderno, pares, apos_identificadores, apos_versao, finais): how many of all keys outlive each stage, for each booklet.
 
-def top_candidates(scored: DataFrame, n: int) -> DataFrame:
+    Keys are counted by what they say, and a booklet adds up the counts of what agrees with it; no pair is formed.
+    """
+    a, b = _sides(left, right)
+    counted = _exploded(b.select("codigo_b", "versao_b", "papel_b", F.col("palavras_b").isNull().alias("_none")), _c=_met(F.col("codigo_b")), _v=_met(F.col("versao_b")))
+    counted = _exploded(counted, _r=F.array(F.lit(ANY), F.when(F.col("_none"), NONE).otherwise(F.concat(F.lit("="), "papel_b"))))
+    counted = counted.groupBy("_c", "_v", "_r").agg(F.count("*").alias("n"))
+    mine = _exploded(a.select("doc_a", "codigo_a", "versao_a", "palavras_a", "papel_a"), _c=_agrees(F.col("codigo_a")))
+    role_keys = role_pairs(a, b, a.count() * b.count()).groupBy("papel_a").agg(F.collect_set(F.concat(F.lit("="), "papel_b")).alias("_rs"))
+    any_ = F.array(F.lit(ANY))
+    own = F.when(F.col("palavras_a").isNull(), any_).otherwise(F.array_append(F.coalesce("_rs", F.array().cast("array<string>")), F.lit(NONE)))
+    asked = mine.join(role_keys, "papel_a", "left")
+    each = F.array(
+        F.struct(F.lit("i").alias("etapa"), any_.alias("vs"), any_.alias("rs")), F.struct(F.lit("v").alias("etapa"), _agrees(F.col("versao_a")).alias("vs"), any_.alias("rs")),
+        F.struct(F.lit("f").alias("etapa"), _agrees(F.col("versao_a")).alias("vs"), own.alias("rs")),
+    )
+    asked = asked.select("doc_a", "_c", F.explode(each).alias("e")).select("doc_a", "_c", "e.*")
+    asked = _exploded(asked, _v=F.col("vs"), _r=F.col("rs")).select("doc_a", "_c", "_v", "_r", "etapa")
+    met = asked.join(counted, ["_c", "_v", "_r"]).groupBy(F.col("doc_a").alias("caderno"))
+    sums = met.agg(*[F.coalesce(F.sum(F.when(F.col("etapa") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in (("i", "apos_identificadores"), ("v", "apos_versao"), ("f", "finais"))])
+    total = b.agg(F.count("*").alias("pares")).where("pares > 0")
+    every = a.select(F.col("doc_a").alias("caderno")).join(F.broadcast(total))  # one row
+    zero = F.lit(0)
+    return every.join(sums, "caderno", "left").select("caderno", "pares", *[F.coalesce(c, zero).cast("long").alias(c) for c in ("apos_identificadores", "apos_versao", "finais")])
+
+
+def top_candidates(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    """(caderno, gabarito, pontos, posicao): the ``n`` best keys of each booklet among those not discarded; ties by id.
+
+    Beside candidates these may be keys that share the year or nothing. Such a key says nothing where the
+    booklet says something, so for each set of fields that a booklet gives, only the ``n`` smallest ids, and
+    the ``n`` smallest of its year, can be among the best.
+    """
+    a, b = _sides(left, right)
+    fields = {"codigo": 1, "versao": 2, "palavras": 4}
+    says = lambda x: sum((F.when(F.col(f"{f}_{x}").isNotNull(), k).otherwise(0) for f, k in fields.items()), F.lit(0))
+    free = b.select(F.col("doc_b").alias("gabarito"), "ano_b", says("b").alias("_b")).withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(7)))).where("(_m & _b) = 0")
+    first = lambda *keys: free.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("gabarito"))).where(F.col("_k") <= n)
+    booklets = a.select(F.col("doc_a").alias("caderno"), "ano_a", says("a").alias("_m"))
+    every = booklets.join(first("_m").select("_m", "gabarito", "ano_b"), "_m")
+    yearly = booklets.join(first("_m", "ano_b").select("_m", "gabarito", "ano_b", F.col("ano_b").alias("ano_a")), ["_m", "ano_a"])
+    near = every.unionByName(yearly.select(*every.columns))
+    points = F.lit(POINTS["familia"] + POINTS["leiaute"]) + F.when(F.col("ano_a") == F.col("ano_b"), POINTS["ano"]).otherwise(0)
+    near = near.select("caderno", "gabarito", points.cast("int").alias("pontos")).distinct()
     w = Window.partitionBy("caderno").orderBy(F.desc("pontos"), "gabarito")
-    return scored.where("eliminado_em IS NULL").withColumn("posicao", F.row_number().over(w)).where(F.col("posicao") <= n)
+    both = candidates(left, right).select("caderno", "gabarito", "pontos").unionByName(near)
+    return both.withColumn("posicao", F.row_number().over(w)).where(F.col("posicao") <= n)
 
 
 def anchors(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:

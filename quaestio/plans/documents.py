@@ -27,40 +27,39 @@ def label_overlap(spark, d):
     return j.where(D.labels_overlap(F.col("a"), F.col("b"), 2)).select("cargo", "ref_id").distinct()
 
 
-_P = f"""p AS (SELECT id AS doc, tipo, upper(trim(identificacao_prova)) AS codigo, ano, versao, CASE WHEN cargo IS NOT NULL THEN {_TOK.format(_ACC.format('cargo'))} END AS w FROM documentos_fonte),
-j AS (SELECT a.doc AS caderno, b.doc AS gabarito, a.codigo AS ca, b.codigo AS cb, a.ano = b.ano AS mesmo_ano, a.versao AS va, b.versao AS vb, a.w AS wa, b.w AS wb FROM p a JOIN p b ON a.tipo = 'caderno' AND b.tipo = 'gabarito'
- AND (a.codigo = b.codigo OR (a.w = b.w AND len(a.w) > 0) OR len(list_intersect(a.w, b.w)) >= 2)),
+_V = r"upper(regexp_replace(trim(versao), '(?i)^(?:prova\s+tipo|prova|tipo|t)\s*', ''))"
+_VERSION = f"nullif(CASE {_V} WHEN 'I' THEN '1' WHEN 'II' THEN '2' WHEN 'III' THEN '3' WHEN 'IV' THEN '4' WHEN 'V' THEN '5' WHEN 'X' THEN '10' ELSE {_V} END, '')"
+# every booklet with every key, without any blocking
+_P = f"""p0 AS (SELECT id AS doc, tipo, nullif(upper(trim(identificacao_prova)), '') AS codigo, ano, {_VERSION} AS versao, {_TOK.format(_ACC.format('cargo'))} AS w0 FROM documentos_fonte),
+p AS (SELECT *, CASE WHEN len(w0) > 0 THEN w0 END AS w FROM p0),
+j AS (SELECT a.doc AS caderno, b.doc AS gabarito, a.codigo AS ca, b.codigo AS cb, a.ano = b.ano AS mesmo_ano, a.versao AS va, b.versao AS vb, a.w AS wa, b.w AS wb FROM p a, p b WHERE a.tipo = 'caderno' AND b.tipo = 'gabarito'),
 o AS (SELECT *, coalesce(wa = wb OR (len(list_intersect(wa, wb)) >= 2 AND least(len(list_intersect(wa, wb)) / greatest(len(wa), 1), len(list_intersect(wa, wb)) / greatest(len(wb), 1)) >= 0.75), false) AS mw FROM j),
 s AS (SELECT caderno, gabarito, ca = cb AS mc, va = vb AS mv, wa IS NOT NULL AND wb IS NOT NULL AND mw AS mr, (20 + CASE WHEN ca = cb THEN 60 ELSE 0 END + CASE WHEN mesmo_ano THEN 12 ELSE 0 END + CASE WHEN va = vb THEN 25 ELSE 0 END + CASE WHEN wa IS NOT NULL AND wb IS NOT NULL AND mw THEN 30 ELSE 0 END)::INTEGER AS pontos,
  CASE WHEN ca <> cb THEN 'identificadores' WHEN va <> vb THEN 'modelo_versao' WHEN wa IS NOT NULL AND wb IS NOT NULL AND NOT mw THEN 'cargo' END AS eliminado_em FROM o),
 f AS (SELECT caderno, gabarito, pontos, eliminado_em, CASE WHEN eliminado_em IS NOT NULL THEN 'descartada' WHEN pontos >= 75 AND coalesce(mc, false) AND (coalesce(mv, false) OR mr) THEN 'candidato_forte_revisao' WHEN pontos >= 35 THEN 'candidato_revisao' ELSE 'revisao_manual' END AS decisao FROM s)"""
 
 
-def _scores(spark, d):
+def _booklets_and_keys(spark, d):
     p = D.profiles(table(spark, d, "documentos_fonte"))
-    return D.funnel_all(p.where("tipo = 'caderno'"), p.where("tipo = 'gabarito'"))
+    return p.where("tipo = 'caderno'"), p.where("tipo = 'gabarito'")
 
 
-@query(f"WITH {_P} SELECT * FROM f")
+@query(f"WITH {_P} SELECT caderno, gabarito, pontos, decisao FROM f WHERE decisao LIKE 'candidato%'")
 def funnel_scores(spark, d):
-    """Every booklet with every key, scored in stages."""
-    return _scores(spark, d)
+    """Every candidate of the funnel with its points: pairs of a booklet and a key that no stage discards and that reach 35."""
+    return D.candidates(*_booklets_and_keys(spark, d))
 
 
 @query(f"WITH {_P} SELECT caderno, count(*) AS pares, count(*) FILTER (eliminado_em IS NULL OR eliminado_em <> 'identificadores') AS apos_identificadores, count(*) FILTER (eliminado_em IS NULL OR eliminado_em = 'cargo') AS apos_versao, count(*) FILTER (eliminado_em IS NULL) AS finais FROM f GROUP BY 1")
 def funnel_survivors(spark, d):
-    """How many keys outlive each stage for each booklet."""
-    out = F.col("eliminado_em")
-    return _scores(spark, d).groupBy("caderno").agg(
-        F.count("*").alias("pares"), F.count_if(out.isNull() | (out != "identificadores")).alias("apos_identificadores"),
-        F.count_if(out.isNull() | (out == "cargo")).alias("apos_versao"), F.count_if(out.isNull()).alias("finais"),
-    )
+    """How many of all keys outlive each stage for each booklet."""
+    return D.survivors(*_booklets_and_keys(spark, d))
 
 
 @query(f"WITH {_P} SELECT caderno, gabarito, pontos, posicao::INTEGER AS posicao FROM (SELECT *, row_number() OVER (PARTITION BY caderno ORDER BY pontos DESC, gabarito) AS posicao FROM f WHERE eliminado_em IS NULL) WHERE posicao <= 5")
 def top_candidates(spark, d):
     """The five best keys of each booklet."""
-    return D.top_candidates(_scores(spark, d), 5).select("caderno", "gabarito", "pontos", "posicao")
+    return D.top_candidates(*_booklets_and_keys(spark, d), 5)
 
 
 @query("""WITH a AS (SELECT l.prova_cadastrada_id AS id, list_distinct(list(q.numero_oficial) FILTER (q.numero_oficial IS NOT NULL)) AS c, list_distinct(list(l.ordem) FILTER (q.gabarito IS NOT NULL)) AS g FROM prova_cadastrada_questoes l JOIN questoes q ON q.id = l.questao_id GROUP BY 1)

@@ -285,29 +285,57 @@ def test_page_groups_and_detections(spark):
     assert col(d.select(layout.valid_detections().alias("v")), "v") == [True, False, False, False, False]
 
 
-def test_funnel_discards(spark):
-    rows = [(1, "caderno", "P1", "Analista de Redes", 2020, "1"), (2, "gabarito", "P1", "Analista de Redes", 2020, "1"), (3, "gabarito", "P2", "Analista de Redes", 2020, "1"), (4, "gabarito", "P1", "Analista de Redes", 2020, "2"), (5, "gabarito", None, None, None, None), (6, "gabarito", "P1", None, None, None)]
+def _profiles(spark, rows):
     p = documents.profiles(spark.createDataFrame(rows, "id long, tipo string, identificacao_prova string, cargo string, ano int, versao string"))
-    got = {r.gabarito: (r.pontos, r.decisao) for r in documents.funnel(p.where("tipo = 'caderno'"), p.where("tipo = 'gabarito'")).collect()}
-    assert got == {2: (147, "candidato_forte_revisao"), 3: (87, "descartada"), 4: (122, "descartada"), 6: (80, "candidato_revisao")}
+    return p.where("tipo = 'caderno'"), p.where("tipo = 'gabarito'")
 
 
-def test_funnel_queries_score_every_pair(spark, tmp_path):
-    from quaestio.plans import catalog
-
-    rows = [(1, "caderno", "P1", None, 2020, "1"), (2, "caderno", None, "Analista de Redes", 2020, None), (3, "caderno", None, None, None, None)]
-    rows += [(4, "gabarito", None, "Analista de Redes", 2020, "1"), (5, "gabarito", None, None, None, "1"), (6, "gabarito", "P2", None, 2020, "1"), (7, "gabarito", None, "Técnico de Som", None, None), (8, "gabarito", None, None, 2020, "2")]
-    spark.createDataFrame(rows, "id long, tipo string, identificacao_prova string, cargo string, ano int, versao string").write.parquet(f"{tmp_path}/documentos_fonte.parquet")
-    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
-    got = {(r.caderno, r.gabarito): (r.pontos, r.eliminado_em) for r in run("funnel_scores")}
-    assert got == {
-        (1, 4): (57, None), (1, 5): (45, None), (1, 6): (57, "identificadores"), (1, 7): (20, None), (1, 8): (32, "modelo_versao"),
-        (2, 4): (62, None), (2, 5): (20, None), (2, 6): (32, None), (2, 7): (20, "cargo"), (2, 8): (32, None),
-        (3, 4): (20, None), (3, 5): (20, None), (3, 6): (20, None), (3, 7): (20, None), (3, 8): (20, None),
-    }
-    assert {tuple(r) for r in run("funnel_survivors")} == {(1, 5, 4, 3, 3), (2, 5, 5, 5, 4), (3, 5, 5, 5, 5)}
-    best = sorted((r.caderno, r.posicao, r.gabarito) for r in run("top_candidates"))
-    assert best == [(1, 1, 4), (1, 2, 5), (1, 3, 7), (2, 1, 4), (2, 2, 6), (2, 3, 8), (2, 4, 5), *[(3, k, k + 3) for k in range(1, 6)]]
+def test_funnel_discards(spark):
+    rows = [(1, "caderno", "P1", "Analista de Redes", 2020, "1"), (2, "gabarito", "P1", "Analista de Redes", 2020, "1"), (3, "gabarito", "P2", "Analista de Redes", 2020, "1"), (4, "gabarito", "P1", "Analista de Redes", 2020, "2"), (5, "gabarito", None, None, None, None), (6, "gabarito", "P1", None, None, None)]
+    got = {r.gabarito: (r.pontos, r.decisao) for r in documents.candidates(*_profiles(spark, rows)).collect()}
+    assert got == {2: (147, "candidato_forte_revisao"), 6: (80, "candidato_revisao")}
+    scored = {(r.gabarito, r.eliminado_em) for r in documents._scored(documents._sides(*_profiles(spark, rows))[0].crossJoin(documents._sides(*_profiles(spark, rows))[1])).collect()}
+    assert scored == {(2, None), (3, "identificadores"), (4, "modelo_versao"), (5, None), (6, None)}
+
+
+@pytest.mark.parametrize("pairs", [2_000_000, 3])
+def test_funnel_against_all_pairs(spark, monkeypatch, pairs):
+    """Candidates, survivors and the five best of every kind of document, against scoring all pairs; frequent keys are salted."""
+    monkeypatch.setattr(documents.salted_join, "__defaults__", (None, pairs))
+    rng = random.Random(pairs)
+    roles = ["Analista de Redes", "Analista de Redes Sênior", "Redes Analista", "Técnico de Som", "Som", "de", "", None, None]
+    rows = [
+        (k, rng.choice(["caderno", "gabarito", "outro"]), rng.choice(["P1", " p2", "P3", "", None, None]), rng.choice(roles), rng.choice([2019, 2020, None]), rng.choice(["1", "tipo I", "2", None, " "]))
+        for k in range(150)
+    ]
+    left, right = _profiles(spark, rows)
+    every = [r.asDict() for r in documents._scored(documents._sides(left, right)[0].crossJoin(documents._sides(left, right)[1])).collect()]
+    want = sorted((r["caderno"], r["gabarito"], r["pontos"], r["decisao"]) for r in every if r["decisao"].startswith("candidato"))
+    assert sorted(map(tuple, documents.candidates(left, right).collect())) == want and len(want) > 100
+    counts = {}
+    for r in every:
+        c = counts.setdefault(r["caderno"], [0, 0, 0, 0])
+        for k, out in enumerate(([], ["identificadores"], ["identificadores", "modelo_versao"], ["identificadores", "modelo_versao", "cargo"])):
+            c[k] += r["eliminado_em"] not in out
+    assert {r[0]: list(r[1:]) for r in documents.survivors(left, right).collect()} == counts
+    best = {}
+    for r in sorted((r for r in every if r["eliminado_em"] is None), key=lambda r: (-r["pontos"], r["gabarito"])):
+        best.setdefault(r["caderno"], []).append((r["gabarito"], r["pontos"]))
+    got = {}
+    for r in documents.top_candidates(left, right, 5).orderBy("posicao").collect():
+        got.setdefault(r.caderno, []).append((r.gabarito, r.pontos))
+    assert got == {k: v[:5] for k, v in best.items()}
+    for f in (documents.candidates, documents.survivors):
+        assert f(left, right.where("false")).count() == 0 and f(left.where("false"), right).count() == 0
+
+
+def test_salted_join(spark):
+    from quaestio.operators.skew import salted_join
+
+    a = spark.createDataFrame([(k % 3, k) for k in range(60)] + [(9, 1), (None, 2)], "k int, x int")
+    b = spark.createDataFrame([(0, k // 2) for k in range(50)] + [(1, 1), (8, 1), (None, 1)], "k int, y int")
+    got = sorted((r.k, r.x, r.y) for r in salted_join(a, b, ["k"], None, 20).collect())
+    assert got == sorted((i.k, i.x, j.y) for i in a.collect() for j in b.collect() if i.k is not None and i.k == j.k)
 
 
 def test_search_and_upgrade(spark):

@@ -63,9 +63,11 @@ def spelled_out(lines: DataFrame) -> DataFrame:
 
 
 def item_grid(lines: DataFrame) -> DataFrame:
-    """A line "Item ..." with the true/false answers of the next line; unequal lengths give nothing, 0 is padding."""
+    """A line "Item ..." with the true/false answers of the next line, a mere label between them aside; unequal lengths give nothing, 0 is padding."""
     w = Window.partitionBy("doc").orderBy("n")
-    near = lines.withColumn("a", F.lead("linha", 1).over(w)).where(F.col("linha").rlike(r"(?i)^item\s+"))
+    near = lines.withColumn("_1", F.lead("linha", 1).over(w)).withColumn("_2", F.lead("linha", 2).over(w)).where(F.col("linha").rlike(r"(?i)^item\s+"))
+    only_label = F.coalesce(F.regexp_replace(F.trim("_1"), ANSWER_LABEL, "") == "", F.lit(False))
+    near = near.withColumn("a", F.when(only_label, F.col("_2")).otherwise(F.col("_1")))
     near = near.select("doc", _found(F.col("linha"), r"\d+").alias("ns"), _found(F.upper("a"), r"\b[CEX0]\b").alias("rs")).where(F.size("ns") == F.size("rs"))
     z = near.select("doc", F.explode(F.arrays_zip("ns", "rs")).alias("z")).select("doc", F.col("z.ns").cast("int").alias("numero"), F.col("z.rs").alias("t"))
     meant = F.when(F.col("t") == "C", "Certo").when(F.col("t") == "E", "Errado").when(F.col("t") == "X", "Anulada")

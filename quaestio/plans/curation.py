@@ -11,8 +11,8 @@ from quaestio.plans.sql import key_sql
 from quaestio.session import table
 
 query = Registry()
-_EX = """x AS (SELECT q.id, 'img-' || (q.id % 211) AS imagem, CASE WHEN q.id % 3 = 0 THEN l.prova_cadastrada_id * 10 + q.id % 10 END AS grupo, CASE WHEN q.id % 4 = 0 THEN p.documento_fonte_questoes_id * 100 + q.id % 50 END AS fonte, q.tipo AS rotulo
-FROM questoes q JOIN prova_cadastrada_questoes l ON l.questao_id = q.id JOIN provas_cadastradas p ON p.id = l.prova_cadastrada_id WHERE q.id % 2 = 0)"""
+_EX = """x AS (SELECT q.id, 'img-' || (q.id % 211) AS imagem, l.grupo, l.fonte, q.tipo AS rotulo FROM questoes q
+LEFT JOIN (SELECT l.questao_id, p.id AS grupo, p.documento_fonte_questoes_id AS fonte FROM prova_cadastrada_questoes l JOIN provas_cadastradas p ON p.id = l.prova_cadastrada_id) l ON l.questao_id = q.id)"""
 
 
 def _examples(spark, d):

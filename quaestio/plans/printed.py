@@ -8,7 +8,7 @@ from quaestio.operators import keytext as K
 from quaestio.operators import printed as P
 from quaestio.operators.linkage import merge_observations
 from quaestio.plans.registry import Registry
-from quaestio.plans.texts import _KEYS, _keys, _printed, _two_lines
+from quaestio.plans.texts import _KEYS, _SUBJECT, _keys, _printed, _two_lines
 from quaestio.session import table
 
 query = Registry()
@@ -26,14 +26,26 @@ def format_canonical(spark, d):
     return g.select("questao_id", P.canonical_format(F.array_join(F.transform("o", lambda x: x["t"]), "\n")).alias("texto"))
 
 
-@query(r"SELECT id, regexp_replace(enunciado, '\s+', ' ', 'g') || chr(10) || 'QUESTÃO 9. Outra pergunta' AS texto FROM questoes WHERE NOT regexp_matches(enunciado, '(?i)quest') AND NOT regexp_matches(enunciado, '[A-Ea-e]\)') AND regexp_matches(enunciado, '\S$') AND regexp_matches(enunciado, '^\S')")
+
+
+def _broken(text: str, pattern: str) -> str:
+    return f"regexp_replace({text}, '{pattern}', '\\1' || chr(10) || '\\2', 'g')"
+
+
+_NAMED = _broken(_broken("enunciado || ' QUESTÃO 9. Outra pergunta'", P.INLINE_NAMED), P.INLINE_NAMED)
+
+
+@query(f"SELECT id, {_broken(_NAMED, '(?m)' + P.INLINE_PLAIN)} AS texto FROM questoes")
 def inline_marker_break(spark, d):
     """Question markers run into the line before them get their own line: those in stems as stored, and one behind each."""
     t = F.concat("enunciado", F.lit(" QUESTÃO 9. Outra pergunta"))
     return table(spark, d, "questoes").select("id", P.break_inline_markers(t).alias("texto"))
 
 
-@query("SELECT id, 'Atualidades' || chr(10) || '1. ' || upper(regexp_replace(enunciado, '[^a-zA-Z ]', '', 'g')) AS texto FROM questoes WHERE regexp_matches(enunciado, '^[A-Z]')")
+@query(rf"""WITH l AS (SELECT id, string_split('Leia as instruções' || chr(10) || '01 - não vire' || chr(10) || 'Atualidades' || chr(10) || '1. ' || enunciado, chr(10)) AS ls FROM questoes),
+m AS (SELECT id, ls, list_max(list_transform(ls, lambda x, i: CASE WHEN regexp_matches(x, '{P.MARKER_LINE}') THEN i END)) AS ultimo FROM l),
+s AS (SELECT id, ls, list_min(list_transform(ls, lambda x, i: CASE WHEN i < ultimo AND {_SUBJECT.format(t='x')} IS NOT NULL THEN i END)) AS inicio FROM m)
+SELECT id, array_to_string(CASE WHEN inicio IS NULL THEN ls ELSE ls[inicio:] END, chr(10)) AS texto FROM s""")
 def front_matter_removed(spark, d):
     """A booklet without its cover; its body is a stem as stored."""
     t = F.concat(F.lit("Leia as instruções\n01 - não vire\nAtualidades\n1. "), "enunciado")
@@ -80,5 +92,3 @@ def highlighted_difference(spark, d):
     q = table(spark, d, "questoes").where("enunciado IS NOT NULL")
     udf = F.pandas_udf(P.marked_difference, "string")
     return q.select("id", udf("enunciado", F.lower(F.regexp_replace("enunciado", r"\s+", " "))).alias("marcado"))
-
-

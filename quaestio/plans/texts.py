@@ -82,7 +82,11 @@ def answer_grid_lines(spark, d):
     return g.select("id", "n", "linha", X.is_answer_grid(F.col("linha")).alias("grade"))
 
 
-@query("SELECT id, CASE " + " ".join(f"WHEN {_ACC.format('disciplina')} = '{k}' THEN '{v}'" for k, v in C.SUBJECTS.items()) + " END AS assunto FROM questoes WHERE disciplina IS NOT NULL")
+_HEADING = _ACC.format(f"regexp_replace({{t}}, '{C.COUNTED}', '')")
+_SUBJECT = "(CASE " + " ".join(f"WHEN regexp_matches({_HEADING}, '{C.subject_pattern(k)}') THEN '{v}'" for k, v in C.SUBJECTS) + " END)"
+
+
+@query(f"SELECT id, {_SUBJECT.format(t='disciplina')} AS assunto FROM questoes WHERE disciplina IS NOT NULL")
 def subject_lookup(spark, d):
     """The subject that a typed heading means as a whole."""
     return table(spark, d, "questoes").where("disciplina IS NOT NULL").select("id", C.subject(F.col("disciplina")).alias("assunto"))
@@ -99,13 +103,17 @@ def board_inference(spark, d):
     return table(spark, d, "documents").select("doc_id", C.board(t).alias("banca"))
 
 
-@query(r"""WITH c AS (SELECT prova_cadastrada_id AS id, 'Este caderno contém ' || count(*) || ' questões. Serão 20 questões objetivas.' AS t FROM prova_cadastrada_questoes GROUP BY 1)
-SELECT id, list_max(list_transform(list_concat(regexp_extract_all(lower(t), '(?:cont[eé]m|contendo|total de|s[aã]o)\s+(\d{1,3})\s+(?:quest[õo]es|itens)', 1), regexp_extract_all(lower(t), '(\d{1,3})\s+quest[õo]es\s+objetivas?', 1)), lambda x: x::INTEGER)) AS quantidade FROM c""")
+_QUANTITY = "list_max(list_transform(list_concat(" + ", ".join(f"regexp_extract_all(lower(t), '{p}', 1)" for p in C.QUANTITY) + "), lambda x: x::INTEGER))"
+
+
+@query(f"""WITH c AS (SELECT prova_cadastrada_id AS id, 'Este caderno contém ' || count(*) || ' questões. Não contém 900 questõesinhas nem 1900 questões objetivas. Serão 20 questões objetivas.' AS t FROM prova_cadastrada_questoes GROUP BY 1
+UNION ALL SELECT -doc_id, text FROM documents) SELECT id, {_QUANTITY} AS quantidade FROM c""")
 def declared_quantity(spark, d):
-    """The number of questions that a cover declares."""
+    """The number of questions that a cover declares, and that each document does; parts of words and longer numbers say nothing."""
     n = table(spark, d, "prova_cadastrada_questoes").groupBy(F.col("prova_cadastrada_id").alias("id")).agg(F.count("*").alias("n"))
-    cover = F.format_string("Este caderno contém %d questões. Serão 20 questões objetivas.", F.col("n"))
-    return n.select("id", C.declared_quantity(cover).alias("quantidade"))
+    cover = F.format_string("Este caderno contém %d questões. Não contém 900 questõesinhas nem 1900 questões objetivas. Serão 20 questões objetivas.", F.col("n"))
+    texts = table(spark, d, "documents").select((-F.col("doc_id")).alias("id"), F.col("text").alias("t"))
+    return n.select("id", cover.alias("t")).unionByName(texts).select("id", C.declared_quantity(F.col("t")).alias("quantidade"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS linha FROM documents),
@@ -127,9 +135,11 @@ def version_labels(spark, d):
     return table(spark, d, "documentos_fonte").where("versao IS NOT NULL").select("id", "versao", X.version_label(F.col("versao")).alias("normal"))
 
 
+_LAYOUT = "CASE " + " ".join("WHEN " + " AND ".join(f"regexp_matches(lower(t), '{p}')" for p in ps) + f" THEN '{n}'" for n, ps in C.LAYOUTS) + " ELSE 'pares' END"
+
+
 @query(f"""SELECT doc_id, CASE WHEN regexp_matches(t, '(?i){C.KEY_STATE}preliminar') THEN 'preliminar' WHEN regexp_matches(t, '(?i){C.KEY_STATE}definitivo') THEN 'definitivo' ELSE 'documento_fornecido' END AS situacao,
-CASE WHEN contains(lower(t), 'cebraspe') THEN 'cebraspe' WHEN regexp_matches(lower(t), 'prova\\s*1') AND regexp_matches(lower(t), 'prova\\s*2') THEN 'multiplas_provas' WHEN regexp_matches(lower(t), '\\bitem\\b') AND regexp_matches(lower(t), '\\b(?:certo|errado)\\b') THEN 'tabela_vertical'
-WHEN contains(lower(t), 'gabarito') AND contains(lower(t), 'resposta') THEN 'tabela_horizontal' ELSE 'pares' END AS modelo FROM (SELECT doc_id, coalesce(titulo, '') || ' ' || text AS t FROM documents)""")
+{_LAYOUT} AS modelo FROM (SELECT doc_id, coalesce(titulo, '') || ' ' || text AS t FROM documents)""")
 def key_document_state(spark, d):
     """Whether a text speaks of a preliminary or final key, and which layout it has."""
     t = F.concat(F.coalesce("titulo", F.lit("")), F.lit(" "), F.col("text"))

@@ -35,14 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    A folder of this machine is set only where the session names none, as in tests.
+    Only where the executors are threads of this process, as in tests, may it be unset: a folder of this
+    machine is set then. On a cluster that would lose rows, so it is an error.
     """
-    jsc = spark.sparkContext._jsc.sc()
+    sc = spark.sparkContext
+    jsc = sc._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaestio-"))
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaestio-"))
     return jsc.getCheckpointDir().get()
 
 
@@ -53,10 +57,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Like ``checkpoint``, as a compressed columnar table: later reads prune columns and have sizes."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """Like ``checkpoint``, as a compressed columnar table: later reads prune columns and have sizes.
+
+    The table is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
@@ -69,9 +79,3 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() >= per_core * cores:
         return df
     return df.repartition(per_core * cores)
-
-
-def with_hot_split(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of hot keys and the rest. ``hot`` has the key columns and, by its caller's proof, few rows."""
-    small = F.broadcast(hot.select(*keys))
-    return df.join(small, keys, "left_semi"), df.join(small, keys, "left_anti")

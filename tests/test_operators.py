@@ -103,7 +103,7 @@ def test_two_rows(spark, rows, want):
 def test_key_readers(spark):
     assert _read(keytext.same_line_pairs(_lines(spark, ["Gabarito: 1 - A 02.B 3 C", "1 a 28", "de 5 A 6 B", "9: *  8 D"]))) == {1: "A", 2: "B", 3: "C", 8: "D"}
     assert _read(keytext.spelled_out(_lines(spark, ["QUESTÃO 6: ANULADA", "7 certo 8 falso", "o 9 certo"]))) == {6: "Anulada", 7: "Certo", 8: "Errado"}
-    assert _read(keytext.item_grid(_lines(spark, ["Item 1 2 0", "C E 0", "Item 4 5", "C"]))) == {1: "Certo", 2: "Errado"}
+    assert _read(keytext.item_grid(_lines(spark, ["Item 1 2 0", "C E 0", "Item 4 5", "C", "Item 6 7", "Gabarito:", "E C", "Item 8", ""]))) == {1: "Certo", 2: "Errado", 6: "Errado", 7: "Certo"}
     two = _lines(spark, ["PROVA 2 PROVA 1", "1 A 2 B 1 C 2 D", "3 A 3 B 4 C"])
     assert _read(keytext.version_columns(two, "1")) == {1: "C", 2: "D"}
     assert _read(keytext.version_columns(two, "3")) == {}

@@ -2,9 +2,11 @@
 
 The skeleton of a text: decompose, replace each character by its prototype from the look-alike table,
 decompose again. Texts of equal skeleton look alike and form one group. The table follows rules for
-whole blocks (full-width forms, ligatures, spaces, invisible characters) and lists single letters of
-Greek and Cyrillic only. The consistent form of a text uses the same prototypes, but spares words and
-symbols wholly of another script, and is composed (NFC).
+whole blocks (full-width forms, ligatures, mathematical letters, spaces, invisible characters) and lists
+single letters of Greek, Cyrillic, Armenian and unusual Latin. A value is disguised where its skeleton,
+composed again and rid of marks that belong to no letter, isn't the value itself; an exact test of its
+characters follows, as letters of another script are no disguise in a word of their own. The consistent
+form uses the same prototypes, but spares words and symbols wholly of another script.
 
 Defined cases: null values are left out; an empty text is its own form; values that problem 3 reports
 as garbled are no cases here; equal values get equal results; an empty table gives an empty result.
@@ -26,11 +28,15 @@ from quaestio.session import materialize
 #: Look-alikes of Latin letters, in alphabetical order of the Latin prototype.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХЗаеѕіјорсухһԁԛԝҮүӏ", "ABESIJKMHOPCTYX3aesijopcyxhdqwYyl")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιϳκνορτυχγωϲ", "ABEZHIKMNOPTYXaijkvoptuxywc")
+ARMENIAN = ("ՕՏՍԼօոսհցզյ", "OSULonuhgqj")
+UNUSUAL_LATIN = ("ıɑɡɩℓ", "iagil")
 #: ASCII characters that look alike, used for skeletons only.
 ASCII_ALIKE = {"0": "O", "1": "l", "I": "l", "|": "l"}
-HOMOGLYPHS = {ord(a): b for pair in (CYRILLIC, GREEK) for a, b in zip(*pair, strict=True)}
-_SUSPECT = r"[＀-￯ﬀ-ﬆĲĳ\p{Mn}\p{Cf}ᅟᅠㅤ᠋-᠏︀-️]|[\p{Zs}&&[^ ]]|[\p{IsGreek}\p{IsCyrillic}]"
+HOMOGLYPHS = {ord(a): b for pair in (CYRILLIC, GREEK, ARMENIAN, UNUSUAL_LATIN) for a, b in zip(*pair, strict=True)}
+#: What may hold a character that has a prototype: all but the first two blocks, common dashes, quotes, dots and the ellipsis.
+_SUSPECT = r"[^\x00-\x9F¡-¬®-ÿ‐-—‘-„•…]"
 _WORD = re.compile(r"\w+")
+SCRIPTS = {"GREEK", "CYRILLIC", "ARMENIAN"}  # with letters that look like Latin ones
 
 
 def kind(c: str) -> str | None:
@@ -42,6 +48,8 @@ def kind(c: str) -> str | None:
         return "largura"
     if 0xFB00 <= o <= 0xFB06 or o in (0x132, 0x133):
         return "ligadura"
+    if 0x1D400 <= o <= 0x1D7FF:
+        return "matematica"
     category = unicodedata.category(c)
     if category == "Zs":
         return "espaco"
@@ -62,13 +70,14 @@ class Prototypes(dict):
         c = chr(o)
         k = kind(c)
         new = {"espaco": " ", "invisivel": ""}.get(k)
-        if k in ("largura", "ligadura"):
+        if k in ("largura", "ligadura", "matematica"):
             new = unicodedata.normalize("NFKD", c)
         self[o] = c if new is None else new
         return self[o]
 
 
 _SHAPES = Prototypes({})
+_PROTOTYPES = Prototypes(HOMOGLYPHS)
 _SKELETON = Prototypes({**HOMOGLYPHS, **{ord(a): b for a, b in ASCII_ALIKE.items()}})
 
 
@@ -83,12 +92,12 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "").split(" ", 1)[0] if c.isalpha() else ""
 
 
-def _foreign(word: str) -> bool:
-    """Whether a Greek or Cyrillic letter stands beside a Latin one."""
+def _foreign(word: str, others: set[str]) -> bool:
+    """Whether a letter of one of the other scripts stands beside a Latin one."""
     if word.isascii():
         return False
     scripts = {_script(c) for c in word}
-    return "LATIN" in scripts and bool(scripts & {"GREEK", "CYRILLIC"})
+    return "LATIN" in scripts and bool(scripts & others)
 
 
 def consistent(text: str) -> str:
@@ -96,23 +105,31 @@ def consistent(text: str) -> str:
     shaped = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_SHAPES))
     if shaped.isascii():
         return shaped
-    return _WORD.sub(lambda m: m.group().translate(HOMOGLYPHS) if _foreign(m.group()) else m.group(), shaped)
+    return _WORD.sub(lambda m: m.group().translate(HOMOGLYPHS) if _foreign(m.group(), SCRIPTS) else m.group(), shaped)
+
+
+def unlike(text: str) -> bool:
+    """Whether the skeleton of a text, composed again, differs from the text. ASCII look-alikes are left alone."""
+    folded = unicodedata.normalize("NFD", text).translate(_PROTOTYPES)
+    composed = unicodedata.normalize("NFC", folded)
+    return composed != text or any(unicodedata.category(c) == "Mn" for c in composed if not c.isascii())
 
 
 def kinds(text: str) -> list[str]:
     """The classes of disguised characters in a text, sorted."""
-    found = {k for c in text if not c.isascii() and (k := kind(c))}
+    found = {k for c in text if not c.isascii() and (k := kind(c))} - {"matematica"}
     plain = text.translate(_SHAPES) if found else text
-    if any(_foreign(w) for w in _WORD.findall(plain)):
+    if any(_foreign(w, {"GREEK", "CYRILLIC"}) for w in _WORD.findall(plain)):
         found.add("alfabeto")
     return sorted(found)
 
 
 def inspected(values: DataFrame) -> DataFrame:
-    """Values with a disguised character: (campo, registro_id, texto, classes, forma)."""
+    """Values that differ from their skeleton, with a disguised character: (campo, registro_id, texto, classes, forma)."""
 
     def look(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"classes": [kinds(t) for t in text], "forma": [consistent(t) for t in text]})
+        other = [unlike(t) for t in text]
+        return pd.DataFrame({"classes": [kinds(t) if u else [] for t, u in zip(text, other, strict=True)], "forma": [consistent(t) if u else t for t, u in zip(text, other, strict=True)]})
 
     udf = F.pandas_udf(look, "classes array<string>, forma string")
     out = values.where(F.col("texto").rlike(_SUSPECT)).withColumn("r", udf("texto"))
@@ -126,7 +143,7 @@ def disguised(values: DataFrame) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values with disguised characters."""
+    """Values that their skeleton shows to be disguised."""
     return disguised(fields(spark, sf_dir, STEM, OPTION)).select("campo", "registro_id")
 
 
@@ -134,9 +151,9 @@ def p2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value in its consistent form."""
     form = F.pandas_udf(lambda s: s.map(consistent), "string")
     values = fields(spark, sf_dir, STEM, OPTION)
-    plain = F.col("texto").rlike(_SUSPECT) | F.col("texto").rlike(r"[KÅΩ]")
-    odd = values.where(plain).withColumn("texto", form("texto"))
-    return odd.unionByName(values.where(~plain)).withColumnRenamed("texto", "texto_normal")
+    may = F.col("texto").rlike(_SUSPECT)
+    odd = values.where(may).withColumn("texto", form("texto"))
+    return odd.unionByName(values.where(~may)).withColumnRenamed("texto", "texto_normal")
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

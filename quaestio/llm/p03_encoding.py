@@ -2,9 +2,10 @@
 
 A multinomial classifier over hashed byte bigrams is trained on words of clean records and on the same
 words put through every encoding chain (once, twice, or with letters lost). For each suspicious word it
-predicts the exact chain; the words of one value add their evidence. The chain is then inverted and
-accepted only under strict decodability: each step must encode and decode without error, and the
-result must look clean to the classifier. Chains between single-byte encodings always decode, and lost
+scores every chain; the words of one value add their evidence. Chains likelier than a clean word are
+tried from the likeliest on: the first that inverts is taken, under strict decodability, where each step
+must encode and decode without error, and the result must look clean to the classifier. Words with lost
+letters are a class of their own, of the same classifier. Chains between single-byte encodings always decode, and lost
 letters leave only a pattern; their words must further be words of the corpus itself.
 
 The classifier is fitted on at most ``TRAIN_VALUES`` values (those of smallest hashed id); everything
@@ -28,7 +29,7 @@ from quaestio.session import materialize, spread
 
 TRAIN_VALUES = 6000
 BUCKETS = 1 << 13
-MIN_WORD_COUNT = 3  # occurrences that make a word one of the corpus
+WORD_RATE = 1e-6  # share of all words from which on, and more than once, a word is one of the corpus
 LOST = "�"
 #: Fixed value: the letters of Portuguese beyond ASCII.
 LETTERS = "áàâãäéêíóôõöúüçñÁÀÂÃÉÊÍÓÔÕÚÜÇÑ"
@@ -116,8 +117,11 @@ def train(values: list[str]) -> np.ndarray:
             g = garble(w, name)
             if g is not None and g != w:
                 np.add.at(counts[k], _bigrams(g), weight)
-        for mark in (LOST, LOST * 2):
+        for mark in (LOST, LOST * 2, "?"):
             np.add.at(counts[-1], _bigrams("".join(c if c.isascii() else mark for c in w)), weight)
+        for k in [k for k, c in enumerate(w) if not c.isascii()] if sum(not c.isascii() for c in w) > 1 else ():  # lost in part
+            for mark in (LOST, "?"):
+                np.add.at(counts[-1], _bigrams(w[:k] + mark + w[k + 1 :]), weight)
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
@@ -165,17 +169,14 @@ class Detector:
         out = []
         if odd:
             whole = np.sum([x[3] for x in odd], 0)
-            common = list(np.argsort(-whole)[:4])
             for s, e, t, own in odd:
-                order = [k for k in [*np.argsort(-own)[:5], *common] if own[k] > own[0]]
-                order.sort(key=lambda k: -(own[k] + whole[k]))
+                order = sorted(np.flatnonzero(own > own[0]), key=lambda k: -(own[k] + whole[k]))
                 if found := self.restore(t, order):
                     out.append((s, e, *found))
         for s, e, t in tokens:
-            if LOST in t:
-                out.append((s, e, "lost", t.replace(LOST, "?"), True))
-            elif _MARKED.search(t):
-                out.append((s, e, "lost", t, False))
+            own = self.scores(t) if LOST in t or _MARKED.search(t) else None
+            if own is not None and own[-1] > own[0]:
+                out.append((s, e, "lost", t.replace(LOST, "?"), LOST in t))
         return sorted(out)
 
 
@@ -229,8 +230,10 @@ def pattern(word):
 def corpus_words(values: DataFrame) -> DataFrame:
     """(chave, palavra): words of the corpus with accented letters, by themselves and by their pattern; the most frequent of each."""
     word = F.explode(F.regexp_extract_all(F.lower("texto"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("palavra")
+    every = F.sum(F.size(F.regexp_extract_all(F.lower("texto"), F.lit(r"(\p{L}+)"), F.lit(1))))
+    total = values.agg(every).first()[0] or 0
     counts = values.select(word).where(f"palavra rlike '^[a-z{LETTERS}]+$' AND palavra rlike '[^\\\\x00-\\\\x7F]'").groupBy("palavra").count()
-    counts = counts.where(F.col("count") >= MIN_WORD_COUNT)
+    counts = counts.where((F.col("count") > 1) & (F.col("count") >= WORD_RATE * total))
     keyed = counts.select("palavra", "count", F.explode(F.array_distinct(F.array("palavra", pattern(F.col("palavra"))))).alias("chave"))
     return keyed.groupBy("chave").agg(F.max_by("palavra", F.struct("count", "palavra")).alias("palavra"))
 

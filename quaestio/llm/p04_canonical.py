@@ -1,10 +1,12 @@
 """Problem 4: freely typed values mapped to a canonical list by a prefix-filter set-similarity join.
 
 Distinct values, not rows, are mapped. A value gives variants: the whole, its segments between
-separators, segments swapped, abbreviations written out with words of the list, numerals as in the
-list. Variants and list names become sets of padded 3-grams, ordered by global rarity. Only grams of
-the prefix are joined, with filters on length and position; candidates are verified by exact Jaccard
-similarity, then word by word with few edits, and the best entry is kept. Values without one get 0.
+separators, segments swapped, each with its abbreviations and numerals as typed and as the words of
+every name that has words for them. Variants and list names become sets of padded 3-grams, ordered by
+global rarity. Only grams of the prefix are joined, with filters on length and position; candidates are
+verified by exact Jaccard similarity, then word by word with few edits, and the best entry is kept: the
+one with the least cost of edits, spare and missing words, then the greatest similarity. Values without
+one get 0.
 
 Defined cases: null and blank values and exact names are left out; of equal candidates the smallest
 ref_id wins; an empty list maps every value to 0; an empty table gives an empty result. The list is
@@ -13,22 +15,21 @@ the stated query set: it is worked off in blocks of ``LIST_BLOCK`` entries.
 
 from __future__ import annotations
 
-import itertools
 import re
 import unicodedata
-from functools import reduce
+from collections import defaultdict
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quaestio.llm.texts import join_counted
 from quaestio.session import materialize, table
 
 FIELDS = ("disciplina", "banca", "cargo")
 NUM, DEN = 1, 4  # least Jaccard similarity of 3-grams
 LIST_BLOCK = 20_000
-HOT_PARTS = 256
-MAX_VARIANTS = 64  # readings of abbreviations tried for one value, nearest in length first
 #: Small numbers as the list writes them.
 NUMERALS = {"1": "i", "2": "ii", "3": "iii", "4": "iv", "5": "v"}
 FILLERS = {"a", "as", "da", "das", "de", "do", "dos", "e", "em", "o", "os", "para"}
@@ -46,31 +47,58 @@ def tidy(text: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", text))
 
 
-def variants(value: str, vocabulary: list[str]) -> set[str]:
-    """Readings of a typed value as plain words; ``vocabulary`` has the plain words of the list."""
+class Names:
+    """The names of one field, found by any beginning of one of their words."""
+
+    def __init__(self, names: list[str]):
+        self.words: list[list[str]] = []
+        self.by_start: dict[str, set[int]] = defaultdict(set)
+        for n in sorted(set(names)):
+            # words between spaces; those with a hyphen also by their parts
+            words = tidy(n).split()
+            whole = [tidy(w).replace(" ", "") for w in n.split()]
+            for form in {tuple(words), tuple(w for w in whole if w)}:
+                for w in form:
+                    for k in range(1, len(w) + 1):
+                        self.by_start[w[:k]].add(len(self.words))
+                self.words.append(list(form))
+
+    def readings(self, words: list[str]) -> set[str]:
+        """The typed words with abbreviations (that end in a full stop) and numerals read as words of a name.
+
+        One reading for each name that has a word for any of them: a name agrees only if its words are met
+        in order, so each abbreviation is its next word that begins so. Words no name has stay as typed.
+        """
+        short = [(w.rstrip(".-"), w.endswith(".") and w.rstrip(".-").isalpha()) for w in words]
+        out = {" ".join(w for w, _ in short)}
+        met = set().union(*(self.by_start.get(w, ()) if cut else self.by_start.get(NUMERALS.get(w, ""), ()) for w, cut in short))
+        for k in met:
+            name, at, read = self.words[k], 0, []
+            for w, cut in short:
+                if cut:
+                    j = next((j for j in range(at, len(name)) if name[j].startswith(w)), None)
+                elif w in NUMERALS:
+                    j = next((j for j in range(at, len(name)) if name[j] == NUMERALS[w]), None)
+                else:
+                    j = next((j for j in range(at, len(name)) if name[j] == w), None)
+                read.append(w if j is None else name[j])
+                at = at if j is None else j + 1
+            out.add(" ".join(read))
+        return out
+
+
+def variants(value: str, names: Names) -> set[str]:
+    """Readings of a typed value as plain words."""
     text = _GENDER.sub("", plain(value))
     text = _INITIALS.sub(lambda m: m.group().replace(".", ""), text)
     parts = [p for p in _SEPARATOR.split(text) if tidy(p)]
     texts = {text, *parts}
     if len(parts) == 2:
         texts.add(f"{parts[1]} {parts[0]}")
-    out: set[str] = set()
-    for t in texts:
-        words = re.findall(r"[^\W_]+(?:-?\.)?", t)
-        choices = []
-        for w in words:
-            bare = w.rstrip(".-")
-            if w.endswith(".") and bare.isalpha():
-                longer = sorted((v for v in vocabulary if v.startswith(bare) and v != bare), key=lambda v: (len(v), v))
-                choices.append([bare, *longer])
-            elif bare in NUMERALS:
-                choices.append([bare, NUMERALS[bare]])
-            else:
-                choices.append([bare])
-        out |= {" ".join(c) for c in itertools.islice(itertools.product(*choices), MAX_VARIANTS)}
-    return {v for v in out if v}
+    return {v for t in texts for v in names.readings(re.findall(r"[^\W_]+(?:-?\.)?", t)) if v}
 
 
+@lru_cache(maxsize=200_000)
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours; most + 1 where it is above ``most``."""
     if abs(len(a) - len(b)) > most:
@@ -97,29 +125,27 @@ def allowed(word: str) -> int:
 def agreement(typed: str, name: str, short: bool) -> float | None:
     """Penalty of reading ``typed`` as ``name`` (0 the best), or None. ``short`` names are initials.
 
-    Every word of the name must be met, in order, by a typed word with few edits; words of the
-    typed value beyond them cost a little, so the closest entry wins.
+    Every word of the name must be met, in order, by a typed word with few edits, wherever that stands; of
+    all ways to do so the cheapest counts. Words of the typed value beyond them cost a little, so the
+    closest entry wins.
     """
     words, wanted = typed.split(), name.split()
     if short:
         best = min((edits(w, name, 1) for w in words), default=9)
         return None if best > 1 or len(name) < 3 else best + 0.3 * (len(words) - 1)
-    at, cost, met = 0, 0.0, 0
+    far = float("inf")
+    row = [0.0] * (len(words) + 1)  # the cheapest way to meet the words of the name so far in the first k typed ones
     for w in wanted:
-        most = allowed(w)
-        ranked = [(edits(t, w, most), k) for k, t in enumerate(words[at : at + 4], at)]
-        d, k = min(ranked, default=(most + 1, 0))
-        if d > most:
-            if w in FILLERS:
-                cost += 0.5
-                continue
-            break
-        cost, at, met = cost + d, k + 1, met + 1
-    else:
+        most, new = allowed(w), [row[0] + 0.5 if w in FILLERS else far]
+        for k, t in enumerate(words):
+            d = edits(t, w, most)
+            new.append(min(new[-1], row[k] + d if d <= most else far, row[k + 1] + 0.5 if w in FILLERS else far))
+        row = new
+    if row[-1] < far:
         extra = [w for w in words if w not in FILLERS]
         spare = max(0, len(extra) - len([w for w in wanted if w not in FILLERS]))
-        if cost <= max(3, len(name) / 5):
-            return cost + 0.6 * spare
+        if row[-1] <= max(3, len(name) / 5):
+            return row[-1] + 0.6 * spare
     joined, target = "".join(words), "".join(wanted)
     most = max(1, min(4, len(target) // 6))
     d = edits(joined, target, most)
@@ -184,17 +210,18 @@ def best_entries(values: DataFrame, canon: DataFrame) -> DataFrame:
 def _scored(values: DataFrame, names: DataFrame) -> DataFrame:
     listed = names.collect()
     entries = [(r.ref_id, r.campo, tidy(plain(r.nome)), r.curto) for r in listed]
-    vocabulary: dict[str, list[str]] = {}
+    by_field: dict[str, list[str]] = defaultdict(list)
     for r in listed:
-        if not r.curto:  # words between spaces; those with a hyphen also by their parts
-            written = {tidy(w) for w in plain(r.nome).split()} | set(tidy(plain(r.nome)).split())
-            vocabulary[r.campo] = sorted(written.union(vocabulary.get(r.campo, [])))
+        if not r.curto:
+            by_field[r.campo].append(plain(r.nome))
     spark = values.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(dict(by_field))
 
     def spelled(batches):
+        names = {c: Names(ns) for c, ns in shared.value.items()}
+        none = Names([])
         for pdf in batches:
-            rows = [(c, v, x) for c, v in zip(pdf.campo, pdf.valor, strict=True) for x in variants(v, shared.value.get(c, []))]
+            rows = [(c, v, x) for c, v in zip(pdf.campo, pdf.valor, strict=True) for x in variants(v, names.get(c, none))]
             yield pd.DataFrame(rows, columns=["campo", "valor", "variante"])
 
     typed = values.select("campo", "valor").mapInPandas(spelled, "campo string, valor string, variante string")
@@ -227,18 +254,12 @@ def typed_values(df: DataFrame, canon: DataFrame) -> tuple[DataFrame, DataFrame]
 def mapped(df: DataFrame, canon: DataFrame) -> DataFrame:
     """(campo, questao_id, ref_id) of every value to map; 0 where the list has no entry.
 
-    Values held by at least 1/HOT_PARTS of all values to map, at most HOT_PARTS of them, are joined by
-    broadcast, so a value that fills a third of the table is never gathered in one task.
+    A value that fills a third of the table is never gathered in one task.
     """
     rows, counts = typed_values(df, canon)
     found = counts.join(best_entries(counts, canon), ["campo", "valor"], "left")
     found = materialize(found.select("campo", "valor", "n", F.coalesce("ref_id", F.lit(0)).cast("long").alias("ref_id")))
-    total = found.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") >= max(1000, total // HOT_PARTS)
-    few = F.broadcast(found.where(hot).drop("n"))
-    first = rows.join(few, ["campo", "valor"])
-    rest = rows.join(few.drop("ref_id"), ["campo", "valor"], "left_anti").join(found.where(~hot).drop("n"), ["campo", "valor"])
-    return first.unionByName(rest).select("campo", "questao_id", "ref_id")
+    return join_counted(rows, found, ["campo", "valor"], "n").select("campo", "questao_id", "ref_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ A record's canonical form keeps letters and digits in lower case; its key is a 1
 Keys are counted exactly (partial counts in each task, then one row a key). Keys with at least
 1/HOT_PARTS of all rows are hot; there are at most HOT_PARTS of them, which bounds what is broadcast.
 Their rows are spread over salts and aggregated in two levels, and joined back by broadcast; the other
-keys take one shuffle. The representative is the record of smallest id.
+keys take one shuffle. The representative is the record of smallest id. Both queries go this way.
 
 Defined cases: null equals empty; texts under ``MIN_LENGTH`` letters and digits are left out; a raw
 record that is no JSON object is compared by its own letters and digits; an empty table gives no rows.
@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaestio.llm.texts import hot_limit
 from quaestio.session import materialize, table
 
-HOT_PARTS = 256
 SALTS = 64
 MIN_LENGTH = 40
 
@@ -26,10 +26,12 @@ def letters_and_digits(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "")
 
 
-def keyed_questions(df: DataFrame) -> DataFrame:
+def keyed_questions(df: DataFrame, *payload: str) -> DataFrame:
+    """(registro_id, chave, *payload) of questions whose stem is long enough."""
     stem = letters_and_digits(F.col("enunciado"))
-    key = F.unhex(F.md5(F.concat_ws("\x1f", "stem", letters_and_digits(F.col("banca")))))
-    return df.withColumn("stem", stem).where(F.length("stem") >= MIN_LENGTH).select(F.col("id").alias("registro_id"), key.alias("chave"))
+    key = F.unhex(F.md5(F.concat_ws("\x1f", "_stem", letters_and_digits(F.col("banca")))))
+    df = df.select("id", "enunciado", "banca", stem.alias("_stem")).where(F.length("_stem") >= MIN_LENGTH)
+    return df.select(F.col("id").alias("registro_id"), key.alias("chave"), *payload)
 
 
 def keyed_raw(df: DataFrame) -> DataFrame:
@@ -41,32 +43,38 @@ def keyed_raw(df: DataFrame) -> DataFrame:
     return df.where("registro IS NOT NULL").select("registro_id", F.unhex(F.md5(form)).alias("chave"))
 
 
-def copy_groups(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hot, other): (chave, grupo_id, copias) of keys with at least two rows; hot has at most HOT_PARTS rows."""
-    groups = materialize(keyed.groupBy("chave").agg(F.min("registro_id").alias("grupo_id"), F.count("*").alias("copias")))
-    total = groups.agg(F.sum("copias")).first()[0] or 0
-    limit = max(1000, total // HOT_PARTS)
-    groups = groups.where("copias > 1")
-    return groups.where(F.col("copias") >= limit), groups.where(F.col("copias") < limit)
+def hot_keys(keyed: DataFrame) -> DataFrame:
+    """(chave) of the keys that hold at least 1/HOT_PARTS of all rows: at most HOT_PARTS rows, counted exactly."""
+    counts = materialize(keyed.groupBy("chave").agg(F.count("*").alias("n")))
+    return materialize(counts.where(F.col("n") >= hot_limit(counts.agg(F.sum("n")).first()[0] or 0)).select("chave"))
+
+
+def grouped(keyed: DataFrame, hot: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(of hot keys, of the others): (chave, r, copias), r the record of smallest id with its payload.
+
+    Rows of hot keys are aggregated by key and salt, then by key; the others by key at once.
+    """
+    first, few = F.min(F.struct("registro_id", *payload)).alias("r"), F.broadcast(hot)
+    salted = keyed.join(few, "chave", "left_semi").withColumn("_salt", F.pmod(F.xxhash64("registro_id"), F.lit(SALTS)))
+    two = salted.groupBy("chave", "_salt").agg(first, F.count("*").alias("_n"))
+    two = two.groupBy("chave").agg(F.min("r").alias("r"), F.sum("_n").alias("copias"))
+    one = keyed.join(few, "chave", "left_anti").groupBy("chave").agg(first, F.count("*").alias("copias"))
+    return two, one
 
 
 def members(keyed: DataFrame) -> DataFrame:
     """(registro_id, grupo_id) of every record that has a copy."""
-    hot, other = copy_groups(keyed)
-    hot_rows = keyed.join(F.broadcast(hot), "chave")
-    rest = keyed.join(F.broadcast(hot.select("chave")), "chave", "left_anti").join(other, "chave")
-    return hot_rows.unionByName(rest).select("registro_id", "grupo_id")
+    keyed = materialize(keyed)
+    hot = hot_keys(keyed)
+    two, one = ((g.where("copias > 1").select("chave", F.col("r.registro_id").alias("grupo_id"))) for g in grouped(keyed, hot, []))
+    few = F.broadcast(hot)
+    rest = keyed.join(few, "chave", "left_anti").join(one, "chave")
+    return keyed.join(F.broadcast(two), "chave").unionByName(rest).select("registro_id", "grupo_id")
 
 
 def collapse(keyed: DataFrame, payload: list[str]) -> DataFrame:
     """One row for each canonical form: the record of smallest id with its payload, and the number of copies."""
-    hot, _ = copy_groups(keyed.select("registro_id", "chave"))
-    first = F.min(F.struct("registro_id", *payload)).alias("r")
-    is_hot = F.broadcast(hot.select("chave"))
-    one = keyed.join(is_hot, "chave", "left_anti").groupBy("chave").agg(first, F.count("*").alias("copias"))
-    salted = keyed.join(is_hot, "chave", "left_semi").withColumn("sal", F.pmod(F.xxhash64("registro_id"), F.lit(SALTS)))
-    two = salted.groupBy("chave", "sal").agg(first, F.count("*").alias("n"))
-    two = two.groupBy("chave").agg(F.min("r").alias("r"), F.sum("n").alias("copias"))
+    two, one = grouped(keyed, hot_keys(keyed.select("chave")), payload)
     return one.unionByName(two).select("r.registro_id", *[f"r.{c}" for c in payload], "copias")
 
 
@@ -81,9 +89,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question for each stem and board, with the number of copies it stands for."""
-    df = table(spark, sf_dir, "questoes")
-    keyed = keyed_questions(df).join(df.select(F.col("id").alias("registro_id"), "enunciado", "banca"), "registro_id")
-    return collapse(keyed, ["enunciado", "banca"])
+    return collapse(keyed_questions(table(spark, sf_dir, "questoes"), "enunciado", "banca"), ["enunciado", "banca"])
 
 
 QUERIES = {"p6_found": p6_found, "p6_collapsed": p6_collapsed}

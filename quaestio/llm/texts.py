@@ -20,4 +20,24 @@ def fields(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+HOT_PARTS = 256
+
+
+def hot_limit(total: int) -> int:
+    """The least rows of a hot key: a 1/HOT_PARTS share of ``total``, so at most HOT_PARTS keys are hot at any size."""
+    return max(2, -(-total // HOT_PARTS))
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``groups``, one row a key, whose ``count`` tells how many of ``rows`` each key has.
+
+    Hot keys, at most HOT_PARTS of them, are joined by broadcast, the others by a shuffle, so no key is
+    gathered in one task. ``groups`` is read several times: a written table.
+    """
+    limit = hot_limit(groups.agg(F.sum(count)).first()[0] or 0)
+    few = F.broadcast(groups.where(F.col(count) >= limit))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(groups.where(F.col(count) < limit), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
 STEM, OPTION, SUPPORT = "questoes.enunciado", "alternativas.texto", "questoes.texto_apoio"

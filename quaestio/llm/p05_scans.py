@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quaestio.llm.texts import STEM, SUPPORT, fields
 from quaestio.session import materialize, spread
 
-MIN_COUNT = 3  # occurrences that make a word one of the vocabulary
+VOCABULARY_RATE, MIN_COUNT = 3e-6, 3  # share of all words from which on a word is one of the vocabulary; the least occurrences that say anything
 RATIO = 20  # how many times more frequent the reading of a word without digits must be
 LIMIT, OTHER = 3.1, 1.37  # greatest cost of a candidate; cost of an edit that is no confusion of scanning (those cost 1)
 SHARD_WORDS = 100_000
@@ -66,17 +66,27 @@ _INLINE = (
 )
 LINE = re.compile(rf"^[ \t]*(?:{'|'.join(_LINE)})[ \t]*$")
 INLINE = re.compile("|".join(_INLINE))
-_MAYBE = r"\n|\||P[áa]g|pg|[Ff]l|Folha|Prova \d|Edital|REPRODU|CONCURSO|\p{Lu}{3,} "
+#: What a value with furniture or a split word must hold, for the JVM: each form above without its bounds.
+_Z = r"[\s\p{Z}]*"
+_MAYBE = "|".join((
+    r"[\p{L}\p{N}][-‐‑¬\u00AD][ \t]*\r?\n[ \t]*[\p{L}\p{N}]",
+    rf"(?m:^[ \t]*(?:[-–—]{_Z}\d{{1,4}}{_Z}[-–—]|[\[(]?\d{{1,4}}[\])]?|\d{{1,4}}{_Z}/{_Z}\d{{1,4}})[ \t]*$)",
+    rf"(?:P[áa]gina|P[áa]g\.?|pg\.?|[Ff]ls?\.|Folha){_Z}\d",
+    r"Edital n|Prova \d+ \(cor|\|[ ]*TIPO \d|REPRODUÇÃO|CONCURSO PÚBLICO \d|\d[ ]\|",
+    rf"{_UP}{{2,}}(?:[ \-]+{_UP}+)+[ ]{{1,12}}\d",
+))
 
 
 def furniture(text: str) -> list[tuple[int, int]]:
-    """(start, end) of page furniture amid a text: something of the text stands before and after it."""
-    if sum(c.isupper() for c in text) > 0.5 * sum(c.isalpha() for c in text):
-        return []
-    found = [m.span() for m in INLINE.finditer(text)]
+    """(start, end) of page furniture amid a text: something of the text stands before and after it.
+
+    In a text that is mostly in capitals itself, only whole lines are told from it.
+    """
+    loud = sum(c.isupper() for c in text) > 0.5 * sum(c.isalpha() for c in text)
+    found = [] if loud else [m.span() for m in INLINE.finditer(text)]
     at = 0
     for line in text.split("\n"):
-        if LINE.match(line) and all(at + len(line) <= s or at >= e for s, e in found):
+        if (LINE.match(line) or loud and INLINE.fullmatch(line.strip())) and all(at + len(line) <= s or at >= e for s, e in found):
             found.append((at, at + len(line)))
         at += len(line) + 1
     found.sort()
@@ -100,20 +110,21 @@ def token_counts(values: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
-    return counts.where(F.col("palavra").rlike(r"^\p{L}+$") & (F.col("n") >= MIN_COUNT))
+    """The words of letters that are frequent enough by their share, so that misread ones don't become words as a bank grows."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("palavra").rlike(r"^\p{L}+$") & (F.col("n") >= max(MIN_COUNT, VOCABULARY_RATE * total)))
 
 
 def is_mixed(word: Column) -> Column:
     return word.rlike(r"\p{N}") & word.rlike(r"\p{L}.*\p{L}") & ~word.rlike(r"^\d+\p{L}{1,3}$") & ~word.rlike(r"^\p{N}+[ªº]")
 
 
-def suspects(counts: DataFrame, split: DataFrame) -> DataFrame:
+def suspects(counts: DataFrame, vocab: DataFrame, split: DataFrame) -> DataFrame:
     """(palavra, n) of suspicious words: mixed ones, joined halves that are no words, and letters read as others."""
-    vocab = vocabulary(counts)
     mixed = counts.where(is_mixed(F.col("palavra")))
     joined = split.select(F.lower(F.col("junta")).alias("palavra")).distinct().join(vocab, "palavra", "left_anti")
     joined = joined.where(is_mixed(F.col("palavra")) | F.col("palavra").rlike("|".join(MERGES))).withColumn("n", F.lit(1).cast("long"))
-    plain = counts.where(F.col("palavra").rlike(r"^\p{L}{5,}$"))
+    plain = counts.where(F.col("palavra").rlike(r"^\p{L}{3,}$"))
     read = F.array(*[F.replace(F.col("palavra"), F.lit(a), F.lit(b)) for a, b in PAIRS.items()])
     other = plain.select("palavra", "n", F.explode(F.array_distinct(read)).alias("outra")).where("outra <> palavra")
     better = vocab.select(F.col("palavra").alias("outra"), F.col("n").alias("m"))
@@ -163,7 +174,7 @@ def readings(found: DataFrame, vocab: DataFrame) -> DataFrame:
     """(palavra, lida, custo, m): every vocabulary word that scanning may have turned into a suspicious word."""
     found, vocab = materialize(found), materialize(vocab)
     shards = max(1, -(-vocab.count() // SHARD_WORDS))
-    parts = min(64, max(8, -(-found.count() // PART_TOKENS)))
+    parts = max(8, -(-found.count() // PART_TOKENS))  # a group holds PART_TOKENS suspicious and SHARD_WORDS listed words at most
     # each confusion changes the length by one at most
     lengths = F.explode(F.sequence(F.greatest(F.lit(1), F.length("palavra") - 3), F.length("palavra") + 3))
     left = found.withColumn("tam", lengths).withColumn("fatia", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -217,13 +228,15 @@ def noise(values: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     split = page.select("campo", "registro_id", F.explode("partidas").alias("p")).select("campo", "registro_id", "p.*")
     counts = materialize(token_counts(values))
     vocab = vocabulary(counts)
-    candidates = materialize(readings(suspects(counts, split), vocab))
+    candidates = materialize(readings(suspects(counts, vocab, split), vocab))
     bad = candidates.select("palavra").distinct()
     joins = split.select(F.lower(F.col("junta")).alias("palavra")).distinct().join(vocab.select("palavra").unionByName(bad).distinct(), "palavra", "left_semi")
     joins = materialize(joins)
     cut = split.join(joins.withColumnRenamed("palavra", "j"), F.lower(F.col("junta")) == F.col("j")).select("campo", "registro_id")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("texto"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    odd = F.filter(words, lambda w: (F.length(w) > 2) & w.rlike(r"\p{N}|" + "|".join(PAIRS)) & w.rlike(r"\p{L}"))
+    # a short word at the very end may be the beginning of a cut one, such as cla for classe
+    whole = F.regexp_replace(F.lower("texto"), r"(?<![\p{L}\p{N}])\p{L}{1,4}$", "")
+    words = F.array_distinct(F.regexp_extract_all(whole, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    odd = F.filter(words, lambda w: (F.length(w) > 1) & w.rlike(r"\p{N}|" + "|".join(PAIRS)) & w.rlike(r"\p{L}"))
     read = values.select("campo", "registro_id", F.explode(odd).alias("palavra")).join(bad, "palavra").select("campo", "registro_id")
     found = page.where("mobilia").select("campo", "registro_id").unionByName(cut).unionByName(read).distinct()
     return found, joins, candidates

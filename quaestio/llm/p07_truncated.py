@@ -2,11 +2,12 @@
 
 Three kinds of evidence, all from prefix self-joins over the whole bank:
 
-* a stem is a strict prefix of a longer copy elsewhere: in the sorted distinct texts all that continue a
-  text follow it, so the next one tells;
+* a value is a strict prefix of a longer one of its field: in the sorted distinct texts all that continue a
+  text follow it, so the next one tells. A stem with a longer copy is cut; an option may be a phrase that
+  others go on from, so there this decides only where its tail says nothing;
 * its tail, the last word (or part of one) with the two words before it, is a strict prefix of tails
-  that go on elsewhere: contexts with the first letters of the word meet, and what follows there is
-  counted as going on, as a stop, or as the end of a value. A tail that never stops anywhere is cut; a
+  that go on elsewhere: the prefixes of every word in its context are counted as going on, as a stop, or
+  as the end of a value, and joined with the tails by equality. A tail that never stops anywhere is cut; a
   phrase that ends values elsewhere, such as one that leads into the options, is whole;
 * its source document holds no longer value, and values pile up at that length (characters or bytes).
 
@@ -26,7 +27,9 @@ from quaestio.session import materialize, table
 
 STOP_SHARE = 0.02  # a tail that stops in at least this share of its other uses is a possible end
 CHANCE = 4.0  # stops to expect of a word in as many uses before their absence counts
-PILE, PILE_SHARE = 4, 0.08  # values at the greatest length of a source that make it a limit
+PILE, PILE_SHARE = 4, 0.08  # values, and share of a source's own values, at its greatest length that make it a limit
+SHORTEST = 20  # characters: no source has a shorter limit
+LONG_WORD = 48  # letters up to which all prefixes of a word are counted; longer ones meet by their first so many
 _CLOSERS = tuple(".!?:;\"'”’»)]%")
 _SIGNS = tuple("….])-–—")
 _OMISSION = r"(?:\s*(?:…|\.{3,}|\[\.{3}\]|\(\.{3}\)|\(…\)|[-–—])+)\s*$"
@@ -48,7 +51,7 @@ def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))  # what is one blank already is left alone
 
 
 def body(text: Column) -> Column:
@@ -103,23 +106,15 @@ def judged_tails(open_values: DataFrame, uses: DataFrame) -> DataFrame:
     the word ends phrases so often elsewhere that chance may explain why it doesn't here.
     """
     own = F.count_if(~F.col("no_limite"))  # ends of the judged values themselves
-    judged = open_values.where("w <> ''").groupBy("w2", "w1", "w").agg(own.alias("proprias"))
+    judged = materialize(open_values.where("w <> ''").groupBy("w2", "w1", "w").agg(own.alias("proprias")))
     for k, context in enumerate((["w2", "w1"], ["w1"], [])):
         keys = [*context, "w"]
-        known = uses.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("vai", "para", "fim")]).withColumnRenamed("w", "outra")
-        # words meet by a prefix of fixed length: two letters, or one where the tail has only one
-        heads = known.withColumn("h", F.explode(F.array_distinct(F.array(F.substring("outra", 1, 1), F.substring("outra", 1, 2)))))
-        mine = judged.select(*keys).distinct().withColumn("h", F.substring("w", 1, 2))
-        met = mine.join(heads, [*context, "h"]).where(F.col("outra").startswith(F.col("w")))
-        same = F.col("outra") == F.col("w")
-        uses_of = F.col("vai") + F.col("para") + F.col("fim")
-        sums = met.groupBy(*keys).agg(
-            F.sum(F.when(same, F.col("vai")).otherwise(0)).alias(f"vai{k}"),
-            F.sum(F.when(same, F.col("para") + F.col("fim")).otherwise(0)).alias(f"para{k}"),
-            F.sum(F.when(same, 0).otherwise(uses_of)).alias(f"longas{k}"),
-        )
+        mine = judged.select(*keys).distinct()
+        known = uses.join(mine.select(*context).distinct(), context, "left_semi") if context else uses
+        known = known.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("vai", "para", "fim")]).withColumnRenamed("w", "outra")
+        sums = _prefix_uses(mine, known, context, k)
         judged = judged.join(sums, keys, "left").fillna(0).withColumn(f"para{k}", F.col(f"para{k}") - F.least("proprias", F.lit(1)))
-        judged = materialize(judged)
+    judged = materialize(judged)
     share = F.greatest(F.col("para2"), F.lit(0)) / F.greatest(F.col("vai2") + F.col("para2"), F.lit(1))
     verdict = F.lit(None).cast("boolean")
     for k in (2, 1, 0):
@@ -131,33 +126,60 @@ def judged_tails(open_values: DataFrame, uses: DataFrame) -> DataFrame:
     return judged.select("w2", "w1", "w", verdict.alias("cortada"))
 
 
+def _prefix_uses(mine: DataFrame, known: DataFrame, context: list[str], k: int) -> DataFrame:
+    """(*context, w, vai{k}, para{k}, longas{k}): how the words of a context that begin with w are used: w itself, and longer ones.
+
+    Every prefix of a known word is a row, summed up before it meets the tails, one row each; so the work
+    grows with the letters of the words. Prefixes of words beyond LONG_WORD letters would be too many: longer
+    tails meet longer words by their first LONG_WORD letters.
+    """
+
+    def sums(df: DataFrame) -> DataFrame:
+        same = F.col("outra") == F.col("w")
+        return df.groupBy(*context, "w").agg(
+            F.sum(F.when(same, F.col("vai")).otherwise(0)).alias(f"vai{k}"),
+            F.sum(F.when(same, F.col("para") + F.col("fim")).otherwise(0)).alias(f"para{k}"),
+            F.sum(F.when(same, 0).otherwise(F.col("vai") + F.col("para") + F.col("fim"))).alias(f"longas{k}"),
+        )
+
+    ends = F.sequence(F.lit(1), F.least(F.length("outra"), F.lit(LONG_WORD)))
+    short = sums(known.select("*", F.explode(F.transform(ends, lambda n: F.substring(F.col("outra"), F.lit(1), n))).alias("w")))
+    short = mine.where(F.length("w") <= LONG_WORD).join(short, [*context, "w"])
+    head = lambda c: F.substring(c, 1, LONG_WORD).alias("_h")
+    long = mine.where(F.length("w") > LONG_WORD).select("*", head("w"))
+    long = long.join(known.where(F.length("outra") > LONG_WORD).select("*", head("outra")), [*context, "_h"])
+    return short.unionByName(sums(long.where(F.col("outra").startswith(F.col("w")))))
+
+
 def continued(forms: DataFrame) -> DataFrame:
-    """Of distinct texts (f), those that another one continues.
+    """Of distinct texts (campo, f), those that another one of their field continues.
 
     Ranges of the sorted texts are each sorted in a task; the first text of the next range stands after
     the last one of a range.
     """
-    parts = materialize(forms.repartitionByRange("f").withColumn("_p", F.spark_partition_id()))
-    first = parts.groupBy("_p").agg(F.min("f").alias("_first"))
+    parts = materialize(forms.repartitionByRange("campo", "f").withColumn("_p", F.spark_partition_id()))
+    row = F.struct("campo", "f")
+    first = parts.groupBy("_p").agg(F.min(row).alias("_first"))
     after = first.select("_p", F.lead("_first").over(Window.partitionBy(F.lit(0)).orderBy("_p")).alias("_after"))  # a row a range
-    following = F.coalesce(F.lead("f").over(Window.partitionBy("_p").orderBy("f")), "_after")
-    return parts.join(F.broadcast(after), "_p").select("f", following.alias("_next")).where(F.col("_next").startswith(F.col("f"))).select("f")
+    following = F.coalesce(F.lead(row).over(Window.partitionBy("_p").orderBy("campo", "f")), "_after")
+    pairs = parts.join(F.broadcast(after), "_p").select("campo", "f", following.alias("_next"))
+    return pairs.where((F.col("_next.campo") == F.col("campo")) & F.col("_next.f").startswith(F.col("f"))).select("campo", "f")
 
 
 def longer_copies(open_values: DataFrame, values: DataFrame) -> DataFrame:
-    """(registro_id) of stems whose body is a strict prefix of another that goes on in letters or digits.
+    """(campo, registro_id) of values whose body is a strict prefix of another of their field that goes on in letters or digits.
 
     Signs at the end are set aside on both sides, so whatever continues a form adds a letter or digit.
     """
     form = F.regexp_replace(F.lower("corpo"), r"[^\p{L}\p{N}]+$", "").alias("f")
-    forms = values.where(F.col("campo") == STEM).select(form).where("f <> ''").distinct()
-    mine = open_values.where(F.col("campo") == STEM).select("campo", "registro_id", form)
-    return mine.join(continued(forms), "f").select("campo", "registro_id")
+    forms = values.select("campo", form).where("f <> ''").distinct()
+    mine = open_values.select("campo", "registro_id", form)
+    return mine.join(continued(forms), ["campo", "f"]).select("campo", "registro_id")
 
 
 def limits(values: DataFrame) -> DataFrame:
     """(campo, fonte, limite, limite_bytes) of sources whose values pile up at their greatest length."""
-    sized = values.where("fonte IS NOT NULL").select("campo", "fonte", F.length("texto").alias("c"), F.octet_length("texto").alias("b"))
+    sized = values.where("fonte IS NOT NULL").select("campo", "fonte", "c", "b")
     tops = sized.groupBy("campo", "fonte").agg(F.max("c").alias("mc"), F.max("b").alias("mb"), F.count("*").alias("n"))
     piled = sized.groupBy("campo", "fonte", "c", "b").agg(F.count("*").alias("k")).join(tops, ["campo", "fonte"])
     piled = piled.groupBy("campo", "fonte", "mc", "mb", "n").agg(
@@ -166,25 +188,26 @@ def limits(values: DataFrame) -> DataFrame:
     )
     enough = F.greatest(F.lit(PILE), F.col("n") * PILE_SHARE)
     by_chars, by_bytes = (F.col("pc") >= enough) & (F.col("pc") >= F.col("pb")), (F.col("pb") >= enough) & (F.col("pb") > F.col("pc"))
-    return piled.where((by_chars | by_bytes) & (F.col("mc") > 20)).select("campo", "fonte", F.when(by_chars, F.col("mc")).alias("limite"), F.when(by_bytes, F.col("mb")).alias("limite_bytes"))
+    return piled.where((by_chars | by_bytes) & (F.col("mc") > SHORTEST)).select("campo", "fonte", F.when(by_chars, F.col("mc")).alias("limite"), F.when(by_bytes, F.col("mb")).alias("limite_bytes"))
 
 
 def normal(values: DataFrame) -> DataFrame:
     """The values in the consistent form of problem 2, so that disguised letters don't make words of their own."""
-    odd = F.col("texto").rlike(_SUSPECT)
     form = F.pandas_udf(lambda t: t.map(consistent), "string")
     joined = F.regexp_replace("texto", r"(\p{L})[-¬\u00AD][ \t]*\r?\n\s*(\p{Ll})", "$1$2")  # words split over lines
-    plain = values.withColumn("texto", joined).withColumn("normal", F.col("texto"))
-    return plain.where(~odd).unionByName(plain.where(odd).withColumn("normal", form("texto")))
+    plain = values.withColumn("normal", F.when(F.contains("texto", F.lit("\n")), joined).otherwise(F.col("texto")))
+    return plain.where("NOT _odd").unionByName(plain.where("_odd").withColumn("normal", form("normal"))).drop("_odd")
 
 
 def assessed(values: DataFrame) -> DataFrame:
     """Unclosed values with their evidence: (campo, registro_id, fonte, texto, cortada, copia, no_limite)."""
-    values = materialize(values)  # with its source: joined once, read for lengths and for texts
+    # with its source, lengths and whether it may be disguised: joined and tested once
+    lengths = F.length("texto").alias("c"), F.octet_length("texto").alias("b"), F.col("texto").rlike(_SUSPECT).alias("_odd")
+    values = materialize(values.select("campo", "registro_id", "fonte", "texto", *lengths))
     limit = materialize(limits(values))
-    at_limit = (F.length("texto") >= F.col("limite") - 1) | (F.octet_length("texto") >= F.col("limite_bytes") - 3)
+    at_limit = (F.col("c") >= F.col("limite") - 1) | (F.col("b") >= F.col("limite_bytes") - 3)
     values = values.join(limit, ["campo", "fonte"], "left").withColumn("no_limite", F.coalesce(at_limit, F.lit(False)))
-    values = normal(values.drop("limite", "limite_bytes"))
+    values = normal(values.drop("limite", "limite_bytes", "c", "b"))
     values = values.select("campo", "registro_id", "fonte", squeezed(F.col("normal")).alias("texto"), "no_limite")
     values = materialize(values.withColumn("corpo", body(F.col("texto"))))
     unclosed = values.where(~F.right("corpo", F.lit(1)).isin(*_CLOSERS)).withColumn("t", tokens(F.col("corpo")))
@@ -204,12 +227,13 @@ def truncated(values: DataFrame) -> DataFrame:
     """(campo, registro_id, fonte) of cut values.
 
     A cut tail decides. A tail that is a possible end is still cut where a stem has a longer copy or
-    stands at its source's limit, and where an option at the limit is a sentence (a capital first).
+    stands at its source's limit, and where an option at the limit is a sentence (a capital first). A tail
+    seen nowhere else is cut at the limit, before a sign of omission, and where the value has a longer copy.
     """
     a = assessed(values)
     sentence = F.col("texto").rlike(r"^\p{Lu}")
     sign = F.col("texto").rlike(r"[\p{L}\p{N}](?:…|\.{3,}|-)$")
-    unsure = F.col("cortada").isNull() & (F.col("no_limite") | sign)
+    unsure = F.col("cortada").isNull() & (F.col("no_limite") | sign | F.col("copia"))
     stem = F.col("campo") == STEM
     ends = F.col("cortada") == F.lit(False)
     cut = F.col("cortada") | unsure | (ends & F.col("copia") & stem) | (ends & F.col("no_limite") & (stem | sentence))

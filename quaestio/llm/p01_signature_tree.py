@@ -2,14 +2,15 @@
 
 Every stem becomes its set of word n-grams. Stems of one set form a class; work goes on with one
 representative of each. Representatives meet in blocks of a common rare n-gram (the prefix filter:
-two sets of the wanted similarity always share one n-gram among the rarest of each). Inside a block
-a signature tree is built: leaves hold token bitmaps, inner nodes the OR of their children with the
+two sets of the wanted similarity always share one n-gram among the rarest of each; n-grams are counted
+exactly, and those of one set only never meet any). Inside a block a signature tree is built: leaves hold token bitmaps, inner nodes the OR of their children with the
 range of sizes, and a dual traversal from (root, root) drops each pair of nodes whose largest
 possible overlap is below the least overlap its sizes ask for. What is left is verified on the full
 sets, so the result is exact.
 
 Defined cases: null and short texts (under ``min_words`` words) belong to no pair; equal texts are
-pairs of similarity 1; an empty table gives an empty result; further columns are ignored.
+pairs of similarity 1; rows that repeat an id with another text count with one of the texts, that of the
+smallest digest; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaestio.llm.texts import join_counted
 from quaestio.operators.graph import connected_components
-from quaestio.session import materialize, spread, table
+from quaestio.operators.skew import salted_join
+from quaestio.session import materialize, table
 
 WORD = r"[\p{L}\p{N}]+"
 LEAF = 32  # representatives in a leaf of the signature tree
 CELL = 8192  # largest part of a block that one task holds at once
-SKETCH_BITS = 20  # log2 of the counters that rank n-grams by rarity; a fixed size whatever the input
 SIG_WORDS = 4  # 64-bit words of a bitmap
 
 
@@ -50,18 +52,19 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, n: int, min_words: i
     )
 
 
-def rarity_sketch(sets: DataFrame) -> np.ndarray:
-    """Counts of n-grams by hashed counter: 2**SKETCH_BITS numbers at most, never below the true count."""
-    mask = (1 << SKETCH_BITS) - 1
-    counts = (
-        sets.select(F.explode("shingles").alias("h"))
-        .groupBy(F.col("h").bitwiseAND(F.lit(mask)).cast("int").alias("slot"))
-        .count()
-        .toArrow()
-    )
-    sketch = np.zeros(mask + 1, np.int64)
-    sketch[counts["slot"].to_numpy()] = counts["count"].to_numpy()
-    return sketch
+def prefixes(heads: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, shingles, raros): with the n-grams of each set's prefix that other sets have as well, rarest first, as (n, h).
+
+    n-grams are counted over all sets; those of a single set are the rarest of it and take the first places
+    of its prefix, but need no block. Of a set's n-grams in the order (count, hash) the first
+    size - ceil(size * num / den) + 1 are its prefix.
+    """
+    grams = heads.select("id", F.explode("shingles").alias("h"))
+    shared = grams.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    lists = grams.join(shared, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("r"))
+    size = F.size("shingles")
+    places = size - F.ceil(size * num / den).cast("int") + 1 - (size - F.size("r"))
+    return heads.join(lists, "id").where(places > 0).select("id", "shingles", F.slice("r", F.lit(1), places).alias("raros"))
 
 
 def _bitmaps(row: np.ndarray, h: np.ndarray, n_rows: int) -> np.ndarray:
@@ -78,30 +81,21 @@ POSTING = pa.schema(
 )
 
 
-def _postings(sketch, num: int, den: int):
+def _postings():
     """Emit each representative to the blocks of its prefix, with its bitmap.
 
-    A block whose n-gram may be frequent is divided into parts of about CELL rows; a row then goes to
-    the cell of each pair of parts that its own part belongs to, so no task holds the whole block.
+    A block of more than CELL sets is divided into parts of about that many; a row then goes to the cell of
+    each pair of parts that its own part belongs to, so no task holds the whole block.
     """
 
     def run(batches):
-        counts = sketch.value
-        mask = len(counts) - 1
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(1)
-            sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            h = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(ids)), sizes)
-            sig = _bitmaps(row, h, len(ids))
-            df = counts[h & mask]
-            order = np.lexsort((h, df, row))
-            row, h, df = row[order], h[order], df[order]
-            pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            prefix = sizes - -(-sizes * num // den) + 1
-            keep = (pos < prefix[row]) & (df > 1)
-            row, h, df = row[keep], h[keep], df[keep]
+            ids, grams, rare = (batch.column(k) for k in range(3))
+            ids = ids.to_numpy(zero_copy_only=False)
+            sizes = pa.compute.list_value_length(grams).to_numpy(zero_copy_only=False).astype(np.int64)
+            sig = _bitmaps(np.repeat(np.arange(len(ids)), sizes), grams.flatten().to_numpy(zero_copy_only=False), len(ids))
+            row = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(rare).to_numpy(zero_copy_only=False))
+            df, h = (rare.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             parts = np.maximum(1, -(-df // CELL))
             part = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
             rep = np.repeat(np.arange(len(h)), parts)
@@ -110,7 +104,7 @@ def _postings(sketch, num: int, den: int):
             row = row[rep]
             yield pa.record_batch(
                 [
-                    pa.array(h[rep]),
+                    pa.array(h[rep], pa.int64()),
                     pa.array(np.minimum(side, other).astype(np.int32)),
                     pa.array(np.maximum(side, other).astype(np.int32)),
                     pa.array(side.astype(np.int32)),
@@ -268,12 +262,10 @@ def _join_blocks(num: int, den: int):
 
 def similar_sets(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Of ``shingle_sets``: (id, rep, copies) of each row, and (a, b) of similar representatives."""
-    reps = sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    members = materialize(sets.select("id", "k1", "k2").join(reps, ["k1", "k2"]).select("id", "rep", "copies"))
-    heads = materialize(sets.join(members.where("id = rep").select("id"), "id").select("id", "shingles"))
-    spark = sets.sparkSession
-    sketch = spark.sparkContext.broadcast(rarity_sketch(heads))
-    posted = spread(heads).mapInArrow(_postings(sketch, num, den), _ddl(POSTING))
+    reps = materialize(sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    members = materialize(join_counted(sets.select("id", "k1", "k2"), reps, ["k1", "k2"], "copies").select("id", "rep", "copies"))
+    heads = materialize(sets.join(members.where("id = rep").select("id"), "id").groupBy("id").agg(F.min_by("shingles", "k1").alias("shingles")))
+    posted = prefixes(heads, num, den).mapInArrow(_postings(), _ddl(POSTING))
     blocks = posted.repartition("token", "ci", "cj").sortWithinPartitions("token", "ci", "cj")
     found = blocks.mapInArrow(_join_blocks(num, den), "a long, b long").distinct()
     sizes = heads.select("id", "shingles")
@@ -300,7 +292,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = members.select("id", "rep")
     across = similar.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b").select("x", "y")
     copies = members.where("copies > 1").select("id", "rep")
-    within = copies.toDF("x", "rep").join(copies.toDF("y", "rep"), "rep").where("x < y").select("x", "y")
+    within = salted_join(copies.toDF("x", "rep"), copies.toDF("y", "rep"), ["rep"]).where("x < y").select("x", "y")
     return across.union(within).select(F.least("x", "y").alias("questao_id_a"), F.greatest("x", "y").alias("questao_id_b"))
 
 

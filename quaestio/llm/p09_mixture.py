@@ -18,15 +18,18 @@ finish times are ordered by source, id and copy; empty tables give an empty resu
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaestio.session import materialize, spread, table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # on the driver, which sends the file to every executor
+TOKENIZER_CONF = "spark.quaestio.tokenizer"  # where a session names another file
 BUCKETS = 1024  # least number of ranges of an order; more where a range would exceed RANGE_ROWS rows
 RANGE_ROWS = 500_000
 SEED = "mistura-1"
@@ -43,13 +46,16 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
+def count_tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str], tokenizer: str | None = None) -> DataFrame:
     """(id, *keep, tokens) with the number of tokens of each whole text."""
+    path = tokenizer or df.sparkSession.conf.get(TOKENIZER_CONF, None) or TOKENIZER
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     cols = df.select(id_col, *keep, text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(SparkFiles.get(name))
         for batch in batches:
             tokens = [len(enc.encode_ordinary(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -94,10 +100,11 @@ def mix(counted: DataFrame, goals: DataFrame, total_tokens: int | None = None, s
     queued = docs.join(goal, "source").select(
         "doc_id", "source", "tokens", "share", F.explode(F.sequence(F.lit(1), "cap")).alias("copia"), "cap"
     )
-    queued = queued.withColumn("_u", F.xxhash64(F.lit(seed), "doc_id", "copia"))
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("copia").cast("string")))
+    queued = queued.withColumn("_u", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))  # 60 bits
     # the order (copia, _u) in ranges: cap equal parts, each of buckets / cap ranges of the hash
     width = F.greatest(F.lit(1), F.floor(F.lit(buckets) / F.col("cap")))
-    unit = F.col("_u") / F.lit(float(2**64)) + 0.5
+    unit = F.col("_u") / F.lit(float(2**60))
     part = (F.col("copia") - 1) * width + F.least(F.floor(unit * width), width - 1)
     queued = running_sum(queued, ["source"], part.cast("long"), ["copia", "_u", "doc_id"], "tokens", "_cum")
     timed = queued.withColumn("fim_virtual", F.col("_cum") / F.col("share"))
@@ -169,5 +176,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(*_chosen(spark, sf_dir))
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
+def p9_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queue with sizes in characters, which SQL can count."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("long").alias("tokens"))
+    return mix(sized, table(spark, sf_dir, "metas_mistura")).select("doc_id", "source", "copia", "tokens", "tokens_ate_aqui")
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_by_length": p9_by_length}
+SQL = {
+    "p9_by_length": f"""WITH g0 AS (SELECT source, max(parcela_alvo) AS share, max(max_repeticoes) AS cap FROM metas_mistura WHERE source IS NOT NULL AND parcela_alvo > 0 AND max_repeticoes >= 1 GROUP BY 1),
+g AS (SELECT source, share / sum(share) OVER () AS share, cap FROM g0), d AS (SELECT doc_id, source, length(text) AS n, share, cap FROM documents JOIN g USING (source) WHERE length(text) > 0 AND doc_id IS NOT NULL),
+b AS (SELECT min(floor(have * cap / share)) AS total FROM (SELECT sum(n) AS have, any_value(cap) AS cap, any_value(share) AS share FROM d GROUP BY source)),
+q AS (SELECT doc_id, source, n, share, unnest(range(1, cap + 1))::INTEGER AS copia FROM d), u AS (SELECT *, ('0x' || substr(md5('{SEED}|' || doc_id || '|' || copia), 1, 15))::BIGINT AS u FROM q),
+t AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY copia, u, doc_id) / share AS fim FROM u),
+c AS (SELECT *, sum(n) OVER (ORDER BY fim, source, doc_id, copia ROWS UNBOUNDED PRECEDING) AS ate FROM t)
+SELECT doc_id, source, copia, n AS tokens, ate::BIGINT AS tokens_ate_aqui FROM c, b WHERE ate <= total"""
+}

@@ -2,12 +2,15 @@
 
 Each text is scanned once for e-mail addresses, document and telephone numbers, street addresses and
 names of people. Names are found by a list of given names with what follows or, surname first, what
-precedes them, and after titles and roles also without the list. The masked text has a typed
-placeholder for each item, numbered by entity, so that repeated mentions stay recognizable.
+precedes them; without that list after titles and roles, before a document number or a residence, and
+by a frequent surname behind an unlisted word. The masked text has a typed placeholder for each item,
+numbered by entity, so that repeated mentions stay recognizable.
 
 Surrogates: each distinct entity gets a keyed replacement of its own type, gender, script and format.
-All entities are compared: where two share a surrogate, all but one draw again until none collide, so
-distinctness and coreference hold over the whole corpus.
+All entities are compared: where two share a surrogate, or one is a real entity of the corpus, they draw
+again until none collide, so distinctness and coreference hold over the whole corpus and nobody is named
+in another's place. Numbers keep their length and signs and no digit but the leading 9 of mobile ones. The
+key is the caller's; without one a random key is drawn for the run.
 
 Defined cases: null texts are left out and empty ones stay empty; texts are scanned whole; overlapping
 items go to the first of e-mail, document, telephone, address, name; an empty table gives no rows.
@@ -18,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 import unicodedata
 
 import pandas as pd
@@ -25,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quaestio.llm.texts import join_counted
 from quaestio.session import checkpoint, materialize, spread, table
 
-KEY = "troque-esta-chave"
-HOT_PARTS = 256
+KEY_CONF = "spark.quaestio.surrogates.key"  # where a session names the key
 ROUNDS = 30
 #: Frequent given names of Portuguese, without accents, in alphabetical order.
 WOMEN = """adriana alessandra alice aline amanda ana andreia angela aparecida barbara beatriz bianca bruna camila carla
@@ -43,6 +47,17 @@ gustavo heitor henrique hugo igor ivan ivo joao joaquim jonas jorge jose julio l
 manoel manuel marcelo marcio marcos mario mateus mauro miguel nelson norberto orlando osvaldo otavio paulo pedro rafael
 raul renato ricardo roberto rodrigo rogerio ronaldo samuel sebastiao sergio tadeu thiago tiago valter vicente victor vitor wagner walter""".split()
 GIVEN = {*WOMEN, *MEN}
+#: Frequent surnames, without accents, in alphabetical order.
+SURNAMES = set("""almeida alves andrade araujo azevedo barbosa barros batista borges braga brito campos cardoso carvalho castro cavalcanti correia costa
+cunha dias duarte esteves farias fernandes ferreira fonseca freitas garcia gomes goncalves guimaraes lima lopes macedo machado magalhaes marques martins
+matos medeiros melo mendes mendonca monteiro moraes moreira moura nascimento nogueira nunes oliveira pacheco peixoto pereira pimentel pinheiro pinto pires
+queiroz ramos rezende ribeiro rocha rodrigues sampaio santana santos siqueira silva silveira soares sousa souza tavares teixeira torres vargas vasconcelos
+vaz viana vieira xavier""".split())
+#: Capitalised words that begin names of places, bodies and papers rather than of people.
+NOT_GIVEN = set("""a as o os no na nos nas ao aos em de da do para por com se sem banca bairro biblioteca camara campo campus centro cidade colegio comarca conselho
+departamento distrito editora edital edificio empresa escola estadio estado faculdade fazenda fundacao governo grupo hospital igreja ilha instituto jardim
+juiz lago lei ministerio monte morro municipio museu nossa palacio parque ponte porto praca praia prefeitura premio processo projeto relatorio residencial rio rua santa
+santo sao secretaria serra setor teatro tribunal universidade usina vale vila""".split())
 #: Words in capitals that follow a name without being part of it.
 NOT_NAMES = {"CPF", "RG", "NIS", "PIS", "PASEP", "CNH", "CNPJ", "ISBN", "CEP", "OAB", "CPFS", "SR", "SRA", "DR", "DRA"}
 SUFFIXES = {"filho", "neto", "junior", "sobrinho", "segundo"}
@@ -83,6 +98,7 @@ REVERSED_TITLE = re.compile(
 _TITLE = re.compile(
     r"(?:\b(?:Sra?|Srta|Dra?|Prof|Profa)\.|\b(?:professora?|candidat[oa]|senhora?|Assinado:|em nome d[eoa]|aos cuidados d[eoa]|falar com|apresentado por|Dúvidas com|redação d[eoa]|Dona|Seu))\s+$"
 )
+_PERSON_AFTER = re.compile(r"\s*[,(–-]?\s*(?:(?:CPF|RG|NIS|PIS|CNH)\b|(?i:portadora?|inscrit[oa]|residente|domiciliad[oa]|nascid[oa])\b)")
 _LOUD = re.compile(rf"(?<![{_UP}{_LOW}])[{_UP}]{{2,}}[\s,.!?–-]*$")
 _STREET = re.compile(r"(?:\b(?:rua|avenida|travessa|pra[çc]a|alameda|rodovia|estrada|largo|escola|hospital|munic[íi]pio de|comarca de)|\b(?:av|r|tv)\.)\s+(?:d[aeo]s?\s+)?$", re.IGNORECASE)
 
@@ -92,21 +108,31 @@ def bare(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
+def _before(text: str, at: int, most: int = 60) -> str:
+    """What precedes a place, with blanks squeezed: its last characters, about ``most``, whatever the blanks right before it."""
+    k = at
+    while k > 0 and text[k - 1].isspace():
+        k -= 1
+    return re.sub(r"\s+", " ", text[max(0, k - most) : k]) + (" " if k < at else "")
+
+
 def _names(text: str):
+    last_upper = -1  # where the last name in capitals ended
     for m in CAPITALS.finditer(text):
         if " " not in m.group():
             continue  # a name has two words at least
         parts = [(p.start() + m.start(), p.end() + m.start(), p.group()) for p in _PART.finditer(m.group())]
-        if sum(p[2][0].isupper() and len(p[2]) > 1 for p in parts) > 7:
-            continue  # a passage in capitals, not a name
-        if m.group().isupper() and _LOUD.search(text, max(0, m.start() - 40), m.start()):
-            continue  # its words before are in capitals too
+        passage = sum(p[2].isupper() and len(p[2]) > 1 for p in parts) > 7
+        if (passage or m.group().isupper()) and _LOUD.search(text, max(0, m.start() - 40), m.start()):
+            if last_upper < 0 or text[last_upper : m.start()].strip(" ,;\n\t"):
+                continue  # its words before are in capitals too, and no name
         links = [bool(re.fullmatch(rf"{_OF}|e|E", p[2])) for p in parts]
-        k = 0
+        k, some, ended = 0, False, -1
         while k < len(parts):
             start, end, word = parts[k]
-            titled = k == 0 and _TITLE.search(text, max(0, start - 24), start) is not None
-            if links[k] or len(word) < 2 or word.endswith(".") or word in NOT_NAMES or not (bare(word) in GIVEN or titled):
+            titled = k == 0 and _TITLE.search(_before(text, start)) is not None
+            opens = not passage or k == 0 or ended == k - 1 and parts[ended][2] in ("e", "E")  # amid a passage in capitals: first, or after a name and "E"
+            if links[k] or len(word) < 2 or word.endswith(".") or word in NOT_NAMES or not (bare(word) in GIVEN and opens or titled):
                 k += 1
                 continue
             last, j, surname = k, k + 1, False
@@ -121,9 +147,14 @@ def _names(text: str):
                     surname |= bare(w) not in GIVEN
                     last = j
                 j += 1
-            if surname and not _STREET.search(text, max(0, start - 20), start):
+            if surname and not _STREET.search(_before(text, start)):
+                some, ended = True, last + 1
+                if m.group().isupper():
+                    last_upper = parts[last][1]
                 yield start, parts[last][1], "nome"
             k = max(last, k) + 1
+        if not some and not m.group().isupper() and (found := _unlisted(text, parts, links)):
+            yield (*found, "nome")
     for pattern in (REVERSED, REVERSED_TITLE):
         for m in pattern.finditer(text):
             first = m["g"].split()[0]
@@ -132,10 +163,32 @@ def _names(text: str):
                 yield m.start(), end, "nome"
 
 
+def _unlisted(text: str, parts: list, links: list[bool]) -> tuple[int, int] | None:
+    """(start, end) of a run of capitalised words without a listed given name that is a person's all the same.
+
+    A document number or a residence follows it, or its last word is a frequent surname. Its first word must
+    not be one that names places, bodies or papers, nor the only word of a sentence before the surname.
+    """
+    words = [bare(w) for _, _, w in parts]
+    first = next((k for k, w in enumerate(words) if not links[k] and w not in NOT_GIVEN and len(w) > 1 and parts[k][2] not in NOT_NAMES), None)
+    if first is None or first > 0 or any(w in NOT_GIVEN for k, w in enumerate(words) if not links[k]) or any(w == "e" for w in words):
+        return None
+    last = max(k for k in range(len(parts)) if not links[k])
+    if not 2 <= sum(not x for x in links) <= 6 or parts[last][2].endswith(".") or parts[last][2] in NOT_NAMES:
+        return None
+    start, end = parts[0][0], parts[last][1]
+    before = _before(text, start)
+    if _STREET.search(before):
+        return None
+    if _PERSON_AFTER.match(text, end):
+        return start, end
+    return (start, end) if words[last] in SURNAMES and re.search(r"[^\W\d_A-ZÀ-Þ][,;]? $", before) else None
+
+
 def _covered(pattern, text, kind, group=0):
     for m in pattern.finditer(text):
         s = m.start(group)
-        if kind in ("telefone", "documento") and group == 0 and _OTHER_NUMBER.search(text, max(0, s - 30), s):
+        if kind in ("telefone", "documento") and group == 0 and _OTHER_NUMBER.search(_before(text, s)):
             continue
         yield s, m.end(group), kind
 
@@ -215,11 +268,12 @@ def draw(key: str, kind: str, who: str, attempt: int) -> str:
     raw = hmac.new(key.encode(), f"{kind}|{who}|{attempt}".encode(), hashlib.sha256).digest()
     n = int.from_bytes(raw[:16], "big")
     if kind in ("telefone", "documento"):
+        mobile = kind == "telefone" and len(who) in (9, 11) and who[-9] == "9"
         out = []
         for k, c in enumerate(who):
             n, d = divmod(n, 10)
-            keep = not c.isdigit() or kind == "telefone" and (len(who) > 9 and k in (0, 1, 2))
-            out.append(c if keep else str(d))
+            lead = kind == "telefone" and (k == 0 or k == 1 and len(who) > 9)  # neither an area code nor a number begins with 0
+            out.append("9" if mobile and k == len(who) - 9 else c if not c.isdigit() else str(d % 9 + 1) if lead else str(d))
         return "".join(out)
 
     def word(least: int) -> str:
@@ -241,27 +295,29 @@ def draw(key: str, kind: str, who: str, attempt: int) -> str:
     return " ".join([pool[g], *(word(3) for _ in who.split()[1:] or [""])])
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(tipo, chave, substituto): one for each distinct entity, no two of a type equal."""
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(tipo, chave, substituto): one for each distinct entity, no two of a type equal, and none a real entity of its type."""
 
     def drawn(df: DataFrame, attempt: int) -> DataFrame:
         def one(kind: pd.Series, who: pd.Series) -> pd.Series:
             return pd.Series([draw(key, k, w, attempt) for k, w in zip(kind, who, strict=True)], dtype=object)
 
-        return df.select("tipo", "chave", F.pandas_udf(one, "string")("tipo", "chave").alias("substituto"))
+        new = df.select("tipo", "chave", F.pandas_udf(one, "string")("tipo", "chave").alias("substituto"))
+        return new.join(real, ["tipo", "substituto"], "left").select("tipo", "chave", "substituto", F.coalesce("real", F.lit(False)).alias("real"))
 
-    everyone = entities.select("tipo", "chave").distinct()
+    everyone = checkpoint(entities.select("tipo", "chave").distinct())
+    real = everyone.select("tipo", F.col("chave").alias("substituto"), F.lit(True).alias("real"))
     done = checkpoint(drawn(everyone, 0))
     clash = Window.partitionBy("tipo", "substituto").orderBy("chave")
     for attempt in range(1, ROUNDS + 1):
-        ranked = done.withColumn("k", F.row_number().over(clash))
+        ranked = done.withColumn("k", F.when(F.col("real"), 2).otherwise(F.row_number().over(clash)))
         again = ranked.where("k > 1")
         if again.isEmpty():
-            return done
+            return done.drop("real")
         done = checkpoint(ranked.where("k = 1").drop("k").unionByName(drawn(again, attempt)))
     # so short that its format has too few values: the entity's own place in the order makes it distinct
     return done.withColumn("k", F.row_number().over(clash)).select(
-        "tipo", "chave", F.when(F.col("k") > 1, F.concat_ws("-", "substituto", F.col("k").cast("string"))).otherwise(F.col("substituto")).alias("substituto")
+        "tipo", "chave", F.when(F.col("real") | (F.col("k") > 1), F.concat_ws("-", "substituto", F.col("k").cast("string"))).otherwise(F.col("substituto")).alias("substituto")
     )
 
 
@@ -305,13 +361,9 @@ def p10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = materialize(scan(table(spark, sf_dir, "documents")).where("size(itens) > 0").drop("texto_marcado"))
     items = scanned.select("doc_id", F.explode("itens").alias("i")).select("doc_id", "i.*")
     counts = items.groupBy("tipo", "chave").agg(F.count("*").alias("n"))
-    named = materialize(surrogates(counts).join(counts, ["tipo", "chave"]))
-    total = named.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") >= max(1000, total // HOT_PARTS)  # of at most HOT_PARTS entities
-    few = F.broadcast(named.where(hot).drop("n"))
-    joined = items.join(few, ["tipo", "chave"]).unionByName(
-        items.join(few.drop("substituto"), ["tipo", "chave"], "left_anti").join(named.where(~hot).drop("n"), ["tipo", "chave"])
-    )
+    key = spark.conf.get(KEY_CONF, None) or secrets.token_hex(16)
+    named = materialize(surrogates(counts, key).join(counts, ["tipo", "chave"]))
+    joined = join_counted(items, named, ["tipo", "chave"], "n")
     per = joined.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("inicio", "fim", "tipo", "substituto"))).alias("itens"))
 
     def rebuild(text: pd.Series, spans: pd.Series) -> pd.Series:

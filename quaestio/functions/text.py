@@ -66,3 +66,25 @@ def version_label(label: Column) -> Column:
 def roman_items_on_lines(text: Column) -> Column:
     """Each item of a Roman list on a line of its own."""
     return F.regexp_replace(text, r"[ \t]+((?:I|II|III|IV|V)[ ]?[–-][ ])", "\n$1")
+
+
+#: An option letter in brackets or before one, that is no part of a word; what stands before it, and the letter.
+OPTION_SIGN = r"(^|[^\p{L}\p{N}_(])(\(?[A-Ea-e]\)\s+)"
+OPTION_LETTER = r"(?:^|[^\p{L}\p{N}_(])\(?([A-Ea-e])\)\s"
+
+
+def options_on_lines(line: Column) -> Column:
+    """The options of one line each on a line of its own, if there are two at least, in order, none twice, all of one case."""
+    letters = F.regexp_extract_all(line, F.lit(OPTION_LETTER), F.lit(1))
+    upper = F.transform(letters, F.upper)
+    cases = F.size(F.array_distinct(F.transform(letters, lambda x: x == F.upper(x))))
+    ok = (F.size(letters) >= 2) & (upper == F.array_sort(F.array_distinct(upper))) & (cases == 1)
+    return F.when(ok, F.regexp_replace(line, OPTION_SIGN, "$1\n$2")).otherwise(line)
+
+
+def blanks_on_lines(text: Column) -> Column:
+    """Items with a blank to fill in, each after an empty line, where a text asks for true or false of two at least."""
+    asked = text.rlike("(?i)verdadeir[oa]") & text.rlike("(?i)fals[oa]")
+    several = F.size(F.regexp_extract_all(text, F.lit(r"(\(\s*\))"), F.lit(1))) >= 2
+    apart = F.regexp_replace(F.regexp_replace(text, r"\s*\(\s*\)\s*", "\n\n(  )  "), r"^\s+|\s+$", "")
+    return F.when(asked & several, F.regexp_replace(apart, r"([.!?])\s+((?:Assinale|Marque|Selecione)\b)", "$1\n\n$2")).otherwise(text)

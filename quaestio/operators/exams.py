@@ -36,15 +36,66 @@ def most_missed(responses: DataFrame, questions: DataFrame, n: int) -> DataFrame
 def scored(responses: DataFrame, questions: DataFrame) -> DataFrame:
     """(tentativa_id, total, acertos, nota): void items leave the denominator, blanks and foreign keys count as wrong.
 
-    Items are the questions an attempt has a row for; a response is right if its key, read by the
-    question's kind, is the question's own.
+    Items are the questions an attempt has a row for, as where no composition is known; see ``scored_by_composition``.
+    A response is right if its key, read by the question's kind, is the question's own. Responses are
+    joined with one row a question, which is small beside them, and counted by attempt.
     """
     keys = questions.select(F.col("id").alias("questao_id"), "tipo", normalize_key(F.col("gabarito"), F.col("tipo")).alias("chave"))
     j = responses.join(keys, "questao_id")
     counts = F.coalesce(F.col("chave") != "Anulada", F.lit(True))
     right = counts & (normalize_key(F.col("resposta_marcada"), F.col("tipo")) == F.col("chave"))
     agg = j.groupBy("tentativa_id").agg(F.count_if(counts).alias("total"), F.count_if(right).alias("acertos"))
-    return agg.withColumn("nota", F.round(F.when(F.col("total") > 0, F.col("acertos") / F.col("total") * 100).otherwise(0.0), 6))
+    return agg.withColumn("nota", _grade())
+
+
+def _grade() -> Column:
+    return F.round(F.when(F.col("total") > 0, F.col("acertos") / F.col("total") * 100).otherwise(0.0), 6)
+
+
+def composition(items: DataFrame, questions: DataFrame, snapshots: DataFrame, fields: list[str]) -> DataFrame:
+    """Items of exams (prova_id, questao_id, ordem) with the content they were pinned with.
+
+    snapshots: questao_id, conteudo (JSON). A field that a snapshot holds, null included, replaces the question's
+    own; an item without a snapshot has the present content and ``sem_snapshot``.
+    """
+    q = questions.select(F.col("id").alias("questao_id"), *fields)
+    s = snapshots.select("questao_id", F.from_json("conteudo", "map<string,string>").alias("_s"))
+    j = items.join(q, "questao_id").join(s, "questao_id", "left")
+    pinned = lambda f: F.when(F.coalesce(F.map_contains_key("_s", f), F.lit(False)), F.col("_s")[f]).otherwise(F.col(f).cast("string"))
+    return j.select("prova_id", "ordem", "questao_id", *[pinned(f).alias(f) for f in fields], F.col("_s").isNull().alias("sem_snapshot"))
+
+
+def scored_by_composition(attempts: DataFrame, responses: DataFrame, composed: DataFrame) -> DataFrame:
+    """(tentativa_id, total, acertos, nota, alheias): every item that isn't void counts, answered or not.
+
+    attempts: id, prova_id; composed: prova_id, questao_id, tipo, gabarito. Items are counted by exam, so
+    only answers are joined with items. An answer to no item of the exam is counted in ``alheias`` and scores nothing; of several answers to an item the
+    last stored one counts.
+    """
+    key = normalize_key(F.col("gabarito"), F.col("tipo"))
+    items = composed.select("prova_id", "questao_id", "tipo", key.alias("chave"), F.coalesce(key != "Anulada", F.lit(True)).alias("vale"))
+    total = items.groupBy("prova_id").agg(F.count_if("vale").alias("total"))
+    last = responses.groupBy("tentativa_id", "questao_id").agg(F.max_by("resposta_marcada", "id").alias("m"))
+    a = attempts.where("prova_id IS NOT NULL").select(F.col("id").alias("tentativa_id"), "prova_id").join(total, "prova_id")
+    met = last.join(a.select("tentativa_id", "prova_id"), "tentativa_id").join(items, ["prova_id", "questao_id"], "left")
+    right = F.col("vale") & (normalize_key(F.col("m"), F.col("tipo")) == F.col("chave"))
+    per = met.groupBy("tentativa_id").agg(F.count_if(right).alias("acertos"), F.count_if(F.col("vale").isNull()).alias("alheias"))
+    out = a.join(per, "tentativa_id", "left").select("tentativa_id", "total", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("acertos", "alheias")])
+    return out.withColumn("nota", _grade())
+
+
+def attempt_start(exams: DataFrame, attempts: DataFrame, items: DataFrame) -> DataFrame:
+    """(prova_id, decisao, tentativa_id, indisponiveis): what starting an attempt at each exam does.
+
+    items: prova_id, liberada. A finished exam is refused, an open attempt reused, an exam without items or
+    with items that aren't released refused; else an attempt is new.
+    """
+    t = attempts.groupBy("prova_id").agg(F.max(F.col("finalizada_em").isNotNull()).alias("f"), F.min(F.when(F.col("finalizada_em").isNull(), F.col("id"))).alias("aberta"))
+    i = items.groupBy("prova_id").agg(F.count("*").alias("n"), F.count_if(~F.coalesce("liberada", F.lit(False))).alias("fora"))
+    j = exams.select(F.col("id").alias("prova_id")).join(t, "prova_id", "left").join(i, "prova_id", "left")
+    done, n, out = F.coalesce("f", F.lit(False)), F.coalesce("n", F.lit(0)), F.coalesce("fora", F.lit(0))
+    what = F.when(done, "finalizada").when(F.col("aberta").isNotNull(), "reaberta").when(n == 0, "vazia").when(out > 0, "indisponivel").otherwise("nova")
+    return j.select("prova_id", what.alias("decisao"), F.when(what == "reaberta", F.col("aberta")).alias("tentativa_id"), F.when(what == "indisponivel", out).alias("indisponiveis"))
 
 
 def _step(f: Column, right: Column) -> Column:

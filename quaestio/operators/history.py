@@ -83,3 +83,17 @@ def apply_if_unchanged(proposals: DataFrame, current: DataFrame, key: str) -> Da
     j = proposals.withColumn("_several", several).join(now, key, "left")
     state = F.when(F.col("_now").isNull(), "ausente").when(F.col("_several"), "concorrente").when(F.col("_now") != F.col("hash_esperado"), "alterada")
     return j.withColumn("resultado", state.otherwise("aplicada")).drop("_now", "_several")
+
+
+def insert_questions(new: DataFrame, options: DataFrame, content: list[str], after: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions, options, versions) to append for a batch of new questions (ref, ...), numbered on from ``after``.
+
+    options: ref, letra, texto; only multiple-choice questions take theirs. Each question gets version 1 with
+    the digest of its content. The three are of one batch: written to a new folder each, then put in place together.
+    """
+    from quaestio.operators.curation import rank_globally
+
+    q = rank_globally(new, "ref").withColumn("id", F.col("_rank") + after + 1).drop("_rank")
+    o = options.join(q.where("tipo = 'multipla_escolha'").select("ref", F.col("id").alias("questao_id")), "ref").drop("ref")
+    v = q.select(F.col("id").alias("questao_id"), F.lit(1).alias("numero_versao"), signature(content).alias("hash_conteudo"))
+    return q, o, v

@@ -15,6 +15,9 @@ PROFILES = {
     "questoes_nomeadas": r"(?m)^[ \t]*(?:QUESTÃO|QUESTAO|Questão|ITEM) *0*(\d{1,3})(?:[ \t]*[.):–-]|[ \t]+|$)",
     "pontuada": r"(?m)^[ \t]*(\d{1,3})[.)][ \t]+",
     "traco": r"(?m)^[ \t]*(\d{1,3})[ \t]+[–—-][ \t]+",
+    "numero_isolado": r"(?m)^[ \t]*(\d{1,3})[ \t]*$",
+    "dois_pontos": r"(?m)^[ \t]*(\d{1,3})[ \t]*:[ \t]+",
+    "numero_espaco": r"(?m)^[ \t]*(\d{1,3})[ \t]+(?=[^\s–—-])",
 }
 OPTION = r"(?m)^[ \t]*\(?([A-E])\)[ \t]+"
 LETTERS = ["A", "B", "C", "D", "E"]

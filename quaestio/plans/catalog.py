@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bank", "exams", "linkage", "texts", "segments", "documents", "history", "curation", "layout", "printed")
+MODULES = ("bank", "exams", "linkage", "texts", "segments", "documents", "history", "curation", "layout", "printed", "review")
 
 
 def _all(attribute: str) -> dict:

@@ -62,15 +62,40 @@ def joined_lines(spark, d):
     return table(spark, d, "questoes").select("id", X.squeeze(F.col("enunciado")).alias("linha"))
 
 
-@query(r"""WITH o AS (SELECT questao_id, string_agg('(' || letra || ') ' || replace(texto, chr(10), ' '), ' ' ORDER BY letra, id) AS linha FROM alternativas WHERE letra IN ('A','B','C','D','E') GROUP BY 1)
-SELECT questao_id, regexp_replace(linha, ' (\([A-E]\) )', chr(10) || '\1', 'g') AS linhas FROM o""")
+@query(f"""WITH o AS (SELECT questao_id, string_agg('(' || letra || ') ' || replace(texto, chr(10), ' '), ' ' ORDER BY letra, id) AS linha FROM alternativas WHERE letra IN ('A','B','C','D','E') GROUP BY 1),
+l AS (SELECT *, regexp_extract_all(linha, '{X.OPTION_LETTER}', 1) AS x FROM o)
+SELECT questao_id, CASE WHEN len(x) >= 2 AND list_transform(x, lambda c: upper(c)) = list_sort(list_distinct(list_transform(x, lambda c: upper(c)))) AND len(list_distinct(list_transform(x, lambda c: c = upper(c)))) = 1
+ THEN regexp_replace(linha, '{X.OPTION_SIGN}', '\\1' || chr(10) || '\\2', 'g') ELSE linha END AS linhas FROM l""")
 def horizontal_options_split(spark, d):
-    """Options printed on one line, each moved to a line of its own."""
+    """Options printed on one line, each moved to a line of its own, unless their letters repeat, go back or change case."""
     a = table(spark, d, "alternativas").where(F.col("letra").isin(*"ABCDE") & F.col("texto").isNotNull())
     one = F.concat(F.lit("("), F.col("letra"), F.lit(") "), F.translate("texto", "\n", " "))
     g = a.groupBy("questao_id").agg(F.array_sort(F.collect_list(F.struct("letra", "id", one.alias("t")))).alias("o"))
-    line = F.array_join(F.transform("o", lambda x: x["t"]), " ")
-    return g.select("questao_id", F.regexp_replace(line, r" (\([A-E]\) )", "\n$1").alias("linhas"))
+    return g.select("questao_id", F.array_join(F.transform("o", lambda x: x["t"]), " ").alias("l")).select("questao_id", X.options_on_lines(F.col("l")).alias("linhas"))
+
+
+_BLANKS = "'Julgue se é verdadeiro ou falso: ( ) ' || coalesce(enunciado, '') || ' (  ) Outra afirmação. Assinale.'"
+
+
+@query(rf"""WITH t AS (SELECT id, CASE WHEN id % 2 = 0 THEN {_BLANKS} ELSE enunciado END AS t FROM questoes)
+SELECT id, CASE WHEN regexp_matches(t, '(?i)verdadeir[oa]') AND regexp_matches(t, '(?i)fals[oa]') AND len(regexp_extract_all(t, '\(\s*\)')) >= 2
+ THEN regexp_replace(regexp_replace(regexp_replace(t, '\s*\(\s*\)\s*', chr(10) || chr(10) || '(  )  ', 'g'), '^\s+|\s+$', '', 'g'), '([.!?])\s+((?:Assinale|Marque|Selecione)\b)', '\1' || chr(10) || chr(10) || '\2', 'g') ELSE t END AS exibicao FROM t""")
+def display_blanks(spark, d):
+    """Items to judge true or false, each apart; every second stem asks for it."""
+    asked = F.concat(F.lit("Julgue se é verdadeiro ou falso: ( ) "), F.coalesce("enunciado", F.lit("")), F.lit(" (  ) Outra afirmação. Assinale."))
+    t = table(spark, d, "questoes").select("id", F.when(F.col("id") % 2 == 0, asked).otherwise(F.col("enunciado")).alias("t"))
+    return t.select("id", X.blanks_on_lines(F.col("t")).alias("exibicao"))
+
+
+_KIND = (("cex_itens_em_grade", r"(?im)^\s*item\s+(?:\d+\s*){2,}"), ("pares_numero_resposta", r"(?:(?:^|\n)[ \t]*\d{1,3}[ \t]*[-–:.)][ \t]*[A-E](?:[ \t]*|[ \t][^\n]*)(?:\n[^\n]*)*?){3}"), ("matriz_numeros_e_respostas", r"(?im)^[ \t]*(?:(?:quest(?:ão|ao)|item)[ \t]+)?\d{1,3}(?:[ \t]+\d{1,3}){2,}[ \t]*$"))
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in _KIND) + """ ELSE 'lista_respostas' END AS padrao FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || chr(10) || 'Item 1 2 3' WHEN 1 THEN text || chr(10) || '1 - A' || chr(10) || 'x' || chr(10) || '2) B' || chr(10) || '3: E' WHEN 2 THEN text || chr(10) || '1 2 3 4' ELSE text END AS t FROM documents)""")
+def key_classification(spark, d):
+    """The kind of answer key that a text looks like; three of five have lines of a key added."""
+    more = F.when(F.col("doc_id") % 5 == 0, "\nItem 1 2 3").when(F.col("doc_id") % 5 == 1, "\n1 - A\nx\n2) B\n3: E").when(F.col("doc_id") % 5 == 2, "\n1 2 3 4").otherwise("")
+    t = F.concat("text", more)
+    return table(spark, d, "documents").select("doc_id", C.first_of(tuple((n, (p,)) for n, p in _KIND), t, "lista_respostas").alias("padrao"))
 
 
 @query(r"""WITH g AS (SELECT prova_cadastrada_id AS id, ordem // 8 AS l, string_agg(ordem::VARCHAR, ' ' ORDER BY ordem) AS linha FROM prova_cadastrada_questoes GROUP BY 1, 2)

@@ -19,18 +19,20 @@ def anchored_lines(words: DataFrame, tolerance: float) -> DataFrame:
     line; the anchor stays, so slowly sinking words don't chain into one line.
     """
     w = F.array_sort(F.collect_list(F.struct("top", "x0", "n", "text")))
-    kind = "struct<anchor:double,k:int,out:array<struct<k:int,x0:double,n:int,text:string,top:double>>>"
-    zero = F.struct(F.lit(None).alias("anchor"), F.lit(0).alias("k"), F.array().alias("out")).cast(kind)
+    page = words.groupBy(*PAGE).agg(w.alias("w"))
+    page = page.select(*PAGE, "w", _anchors(F.array_distinct(F.transform("w", lambda x: x["top"])), lambda t: F.lit(tolerance)).alias("_as"))
+    each = page.select(*PAGE, "_as", F.explode("w").alias("r"))
+    each = each.select(*PAGE, F.size(F.filter("_as", lambda a: a <= F.col("r.top"))).alias("linha"), "r")
+    return each.groupBy(*PAGE, "linha").agg(
+        F.min("r.top").alias("top"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r.x0", "r.n", "r.text"))), lambda x: x["text"]), " ").alias("texto")
+    )
 
-    def step(s: Column, x: Column) -> Column:
-        new = s["anchor"].isNull() | (F.abs(x["top"] - s["anchor"]) > tolerance)
-        k = s["k"] + new.cast("int")
-        row = F.struct(k.alias("k"), x["x0"], x["n"], x["text"], x["top"])
-        return F.struct(F.when(new, x["top"]).otherwise(s["anchor"]).alias("anchor"), k.alias("k"), F.concat(s["out"], F.array(row)).alias("out")).cast(kind)
 
-    folded = words.groupBy(*PAGE).agg(w.alias("w")).select(*PAGE, F.explode(F.aggregate("w", zero, step)["out"]).alias("r"))
-    return folded.groupBy(*PAGE, F.col("r.k").alias("linha")).agg(
-        F.min("r.top").alias("top"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r.x0", "r.n", "r.text"))), lambda x: x["text"]), " ").alias("texto")
+def _anchors(sorted_at: Column, tolerance) -> Column:
+    """Of sorted places those that start a line: more than the tolerance behind the start of the line before. Only starts are stored."""
+    zero = F.array().cast("array<double>")
+    return F.aggregate(
+        sorted_at, zero, lambda s, x: F.when((F.size(s) == 0) | (x.cast("double") - F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) > tolerance(x)), F.concat(s, F.array(x.cast("double")))).otherwise(s)
     )
 
 

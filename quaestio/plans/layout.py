@@ -1,4 +1,7 @@
-"""Queries over page layout. Words are laid out from the documents' texts: eight a line, forty lines a page."""
+"""Queries over page layout. Words are laid out from the documents' texts: eight a line, forty lines a page.
+
+The words of a line sink by 1.5 each, so lines found by a chain of small steps would differ from anchored ones.
+"""
 
 from __future__ import annotations
 
@@ -12,21 +15,21 @@ from quaestio.session import table
 query = Registry()
 _W = r"""w0 AS (SELECT doc_id AS doc, unnest(regexp_extract_all(text, '\S+')) AS text, generate_subscripts(regexp_extract_all(text, '\S+'), 1) - 1 AS n FROM documents),
 w AS (SELECT doc, (n // 320)::INTEGER AS page, n::INTEGER AS n, text, ((n % 8) * 90 + CASE WHEN doc % 3 = 0 THEN 40 * (n % 8 // 4) ELSE 0 END)::DOUBLE AS x0,
- ((n % 8) * 90 + CASE WHEN doc % 3 = 0 THEN 40 * (n % 8 // 4) ELSE 0 END + CASE WHEN doc % 3 = 0 THEN 60 ELSE 70 + doc % 40 END)::DOUBLE AS x1, ((n % 320 // 8) * 20 + n % 3)::DOUBLE AS top, ((n % 320 // 8) * 20 + n % 3 + 10)::DOUBLE AS bottom FROM w0)"""
+ ((n % 8) * 90 + CASE WHEN doc % 3 = 0 THEN 40 * (n % 8 // 4) ELSE 0 END + CASE WHEN doc % 3 = 0 THEN 60 ELSE 70 + doc % 40 END)::DOUBLE AS x1, ((n % 320 // 8) * 20 + (n % 8) * 1.5)::DOUBLE AS top, ((n % 320 // 8) * 20 + (n % 8) * 1.5 + 10)::DOUBLE AS bottom FROM w0)"""
 
 
 def _words(spark, d):
     w = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).alias("n", "text"))
     n, third = F.col("n"), F.col("doc") % 3 == 0
     x0 = (n % 8) * 90 + F.when(third, 40 * F.floor((n % 8) / 4)).otherwise(0)
-    top = F.floor((n % 320) / 8) * 20 + n % 3
+    top = F.floor((n % 320) / 8) * 20 + (n % 8) * 1.5
     return w.select(
         "doc", F.floor(n / 320).cast("int").alias("page"), "n", "text", x0.cast("double").alias("x0"),
         (x0 + F.when(third, 60).otherwise(70 + F.col("doc") % 40)).cast("double").alias("x1"), top.cast("double").alias("top"), (top + 10).cast("double").alias("bottom"),
     )
 
 
-@query(f"""WITH {_W} SELECT doc, page, (n % 320 // 8 + 1)::INTEGER AS linha, min(top) AS top, string_agg(text, ' ' ORDER BY x0, n) AS texto FROM w GROUP BY 1, 2, 3""")
+@query(f"""WITH {_W} SELECT doc, page, ((n % 320 // 8) * 3 + n % 8 // 3 + 1)::INTEGER AS linha, min(top) AS top, string_agg(text, ' ' ORDER BY x0, n) AS texto FROM w GROUP BY 1, 2, 3""")
 def line_grouping(spark, d):
     """Words grouped into lines by an anchored tolerance."""
     return L.anchored_lines(_words(spark, d), 4.0)
@@ -136,9 +139,23 @@ def edge_band_lines(spark, d):
     return L.edge_lines(p.select("doc", "page", at).select("doc", "page", "l.*"), 100.0, 0.01)
 
 
-@query("""SELECT event_id, NOT isnan(value) AND value IS NOT NULL AND value / 1000 BETWEEN 0 AND 1 AND value * 2 > value AS valida FROM events""")
+@query("""SELECT event_id, NOT isnan(value) AND value IS NOT NULL AND value / 1000 BETWEEN 0 AND 1 AND value >= 0 AND event_id % 3 <> 0 AND event_id % 5 <> 0 AND value > 0 AS valida FROM events""")
 def detection_validity(spark, d):
-    """Which boxes of a reader are usable; an event's value stands for one."""
-    v = F.col("value")
-    boxes = table(spark, d, "events").select("event_id", v.alias("x0"), (v * 2).alias("x1"), v.alias("top"), (v * 2).alias("bottom"), (v / 1000).alias("confianca"))
+    """Which boxes of a reader are usable; an event's value stands for one, with no width in every third and no height in every fifth."""
+    v, i = F.col("value"), F.col("event_id")
+    side = lambda k: F.when(i % k == 0, v).otherwise(v * 2)
+    boxes = table(spark, d, "events").select("event_id", v.alias("x0"), side(3).alias("x1"), v.alias("top"), side(5).alias("bottom"), (v / 1000).alias("confianca"))
     return boxes.select("event_id", L.valid_detections().alias("valida"))
+
+
+@query(f"""WITH {_W} SELECT doc, page, n, dense_rank() OVER (PARTITION BY doc, page ORDER BY n % 320 // 8, n % 8 // 4)::INTEGER AS linha FROM w WHERE (n % 320 // 8) % 5 <> 0""")
+def clustered_rows(spark, d):
+    """Boxes of enough confidence in rows by their centres, which sink along a row; every fifth line is read with little confidence."""
+    w = _words(spark, d).withColumn("confianca", F.when(F.floor((F.col("n") % 320) / 8) % 5 == 0, 0.5).otherwise(0.9))
+    return L.clustered_rows(w).select("doc", "page", "n", "linha")
+
+
+@query(f"WITH {_W} SELECT doc, page, n FROM w WHERE n % 8 IN (0, 3, 6)")
+def suppressed_marks(spark, d):
+    """Marks that aren't within 3 of one kept before on their page."""
+    return L.suppress_near(_words(spark, d), ["doc", "page"], "top", 3.0).select("doc", "page", "n")

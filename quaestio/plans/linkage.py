@@ -139,13 +139,6 @@ def import_report(spark, d):
     )
 
 
-@query("SELECT coalesce(dificuldade, 'sem') AS nivel, count(*) AS n, count(*) FILTER (gabarito IS NOT NULL) AS com_gabarito FROM questoes GROUP BY 1")
-def confidence_histogram(spark, d):
-    """Questions by level, with and without a key."""
-    q = table(spark, d, "questoes")
-    return q.groupBy(F.coalesce("dificuldade", F.lit("sem")).alias("nivel")).agg(F.count("*").alias("n"), F.count("gabarito").alias("com_gabarito"))
-
-
 @query("""SELECT id, array_to_string(list_filter(regexp_split_to_array(upper(texto), '[^\\p{L}]+'), lambda t: t IN ('A','B','C','D','E','CERTO','ERRADO')), ' ') AS marcas
 FROM alternativas""")
 def bulk_answer_tokens(spark, d):

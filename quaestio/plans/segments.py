@@ -41,6 +41,13 @@ def parse_questions(spark, d):
     return p.select("doc_id", "numero", "enunciado", F.size("opcoes").alias("n_opcoes"), text.alias("opcoes"), "tipo", "confianca")
 
 
+@query(f"SELECT confianca AS nivel, count(*) AS n, count(*) FILTER (n_opcoes > 0) AS com_opcoes FROM ({query.sql['parse_questions']}) GROUP BY 1")
+def confidence_histogram(spark, d):
+    """Questions read from old exams by how sure the reading is."""
+    p = parse_questions(spark, d)
+    return p.groupBy(F.col("confianca").alias("nivel")).agg(F.count("*").alias("n"), F.count_if(F.col("n_opcoes") > 0).alias("com_opcoes"))
+
+
 def _booklets(spark, d):
     """A booklet printed from each imported exam: clean questions under named markers, with their options."""
     clean = F.regexp_replace(F.regexp_replace("enunciado", r"\s+", " "), r"(?i)quest.o", "pergunta")

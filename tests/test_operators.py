@@ -139,6 +139,23 @@ def test_scoring(spark):
     assert got == {1: (3, 1, 33.333333), 2: (0, 0, 0.0)}
 
 
+def test_scoring_by_composition(spark):
+    """Items without an answer lower the grade, void ones don't count, answers to other questions are told and score nothing."""
+    composed = spark.createDataFrame([(7, 1, "multipla_escolha", "A"), (7, 2, "multipla_escolha", "X"), (7, 3, "certo_errado", "Certo"), (7, 4, None, None), (8, 1, "multipla_escolha", "X")], "prova_id long, questao_id long, tipo string, gabarito string")
+    attempts = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, None), (5, 9)], "id long, prova_id long")
+    r = spark.createDataFrame([(1, 1, 1, "B"), (2, 1, 1, " a "), (3, 1, 2, "A"), (4, 1, 99, "A"), (5, 3, 1, "A"), (6, 4, 1, "A")], "id long, tentativa_id long, questao_id long, resposta_marcada string")
+    got = {x.tentativa_id: (x.total, x.acertos, x.alheias, x.nota) for x in exams.scored_by_composition(attempts, r, composed).collect()}
+    assert got == {1: (3, 1, 1, 33.333333), 2: (3, 0, 0, 0.0), 3: (0, 0, 0, 0.0)}
+
+
+def test_composition_overlay(spark):
+    q = spark.createDataFrame([(1, "novo", "A"), (2, "x", None)], "id long, enunciado string, gabarito string")
+    items = spark.createDataFrame([(7, 1, 2), (7, 2, 1)], "prova_id long, questao_id long, ordem int")
+    old = spark.createDataFrame([(1, '{"enunciado":"velho","gabarito":null}')], "questao_id long, conteudo string")
+    got = {r.questao_id: (r.enunciado, r.gabarito, r.sem_snapshot) for r in exams.composition(items, q, old, ["enunciado", "gabarito"]).collect()}
+    assert got == {1: ("velho", None, False), 2: ("x", None, True)}
+
+
 def _fold(answers):
     state = None
     for right in answers:

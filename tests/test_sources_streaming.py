@@ -2,6 +2,7 @@
 
 import json
 import zipfile
+import pytest
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -87,5 +88,13 @@ def test_streams(spark, tmp_path):
 def test_session_helpers(spark):
     df = spark.range(10).withColumn("k", F.col("id") % 3)
     assert session.checkpoint(df).count() == 10 and session.materialize(df).columns == ["id", "k"]
-    hot, rest = session.with_hot_split(df, ["k"], spark.createDataFrame([(0,)], "k long"))
-    assert (hot.count(), rest.count()) == (4, 6)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    jsc = N(sc=lambda: N(getCheckpointDir=lambda: N(isEmpty=lambda: True)))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        fake = N(sparkContext=N(_jsc=jsc, master=master), conf=N(get=lambda *_: None))
+        with pytest.raises(RuntimeError):
+            session.shared_dir(fake)

@@ -279,4 +279,9 @@ i AS (SELECT item_id, regexp_extract_all(strip_accents(lower(texto)), '[\\p{{L}}
 dw AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda k: array_to_string(w[k:k + {WINDOW - 1}], ' '))) AS g FROM d),
 iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda k: array_to_string(w[k:k + {WINDOW - 1}], ' '))) AS g FROM i)"""
 
-SQL = {"p8_found": f"WITH {_W} SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"}
+SQL = {
+    "p8_found": f"WITH {_W} SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)",
+    "p8_items": f"""WITH {_W}, p AS (SELECT doc_id, unnest(range(1, len(w) - {WINDOW - 2})) AS k, w FROM d), m AS (SELECT DISTINCT doc_id, item_id, k FROM (SELECT doc_id, k, array_to_string(w[k:k + {WINDOW - 1}], ' ') AS g FROM p) JOIN iw USING (g)),
+r AS (SELECT doc_id, item_id, k - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k) AS corrida FROM m), t AS (SELECT doc_id, item_id, corrida, count(*) + {WINDOW - 1} AS n FROM r GROUP BY ALL)
+SELECT item_id, count(DISTINCT doc_id) AS n_documentos, max(n)::INTEGER AS maior_trecho FROM t GROUP BY 1""",
+}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,16 @@ from pyspark.sql import functions as F
 ACCENTED, PLAIN = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ", "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
 
 
+def page_normal(text: Column) -> Column:
+    """A page in compatible composed form (NFKC), with one kind of line end and single blanks."""
+
+    def compatible(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    lines = F.regexp_replace(F.pandas_udf(compatible, "string")(text), r"\r\n?", "\n")
+    return F.regexp_replace(F.regexp_replace(lines, r"[ \t]+", " "), r"^\s+|\s+\z", "")
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

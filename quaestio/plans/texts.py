@@ -21,6 +21,12 @@ def text_compare_norm(spark, d):
     return table(spark, d, "questoes").select("id", X.comparison_text(F.col("enunciado")).alias("normal"))
 
 
+@query()
+def page_normalized(spark, d):
+    """Documents as pages in compatible composed form, which SQL here can't give."""
+    return table(spark, d, "documents").select("doc_id", X.page_normal(F.col("text")).alias("pagina"))
+
+
 _ACC = f"trim(regexp_replace(lower(translate({{}}, '{X.ACCENTED}', '{X.PLAIN}')), '\\s+', ' ', 'g'))"
 
 

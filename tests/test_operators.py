@@ -43,6 +43,19 @@ def test_text_forms(spark):
     assert col(v, "r") == ["4", "2", "10", "AZUL"]
 
 
+def test_page_normal(spark):
+    rows = [(1, " ﬁm\r\nde\t\tＡ\u00a0b\r "), (2, "a  b\n"), (3, None), (4, ""), (5, "ação")]
+    df = spark.createDataFrame(rows, "i int, v string")
+    assert {r.i: r.p for r in df.select("i", text.page_normal(F.col("v")).alias("p")).collect()} == {1: "fim\nde A b", 2: "a b", 3: None, 4: "", 5: "ação"}
+
+
+def test_option_lines(spark):
+    cases = {"(A) um (B) dois": "\n(A) um \n(B) dois", "a) um b) dois": "\na) um \nb) dois", "(A) um (A) dois": None, "(B) um (A) dois": None, "(A) um b) dois": None, "(A) só": None, "mãe) x (A) um": None}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    for r in df.select("v", text.options_on_lines(F.col("v")).alias("p")).collect():
+        assert " ".join(r.p.split()) == " ".join((cases[r.v] or r.v).split()) and ("\n" in r.p) == (cases[r.v] is not None), r
+
+
 def test_subject_and_board(spark):
     df = spark.createDataFrame([("LÍNGUA PORTUGUESA | 20 questões", "prova da fgv"), ("Direito", "nada"), (None, None)], "a string, b string")
     got = df.select(catalogs.subject(F.col("a")).alias("s"), catalogs.board(F.col("b")).alias("b")).collect()

@@ -305,6 +305,44 @@ def test_truncated(spark, tmp_path):
     assert rate[103] > 0.8 and max(v for s, v in rate.items() if s != 103) < 0.2
 
 
+def test_truncated_copies(spark, tmp_path):
+    """Copies of all tables with shifted keys change nothing, also where a question has no source or several equal options."""
+    rng = random.Random(21)
+    q, a, links = [], [], []
+    for k in range(1, 301):
+        t = text(rng, 4)
+        if k % 23 == 0:
+            words = t.split()
+            t = " ".join(words[: rng.randint(6, len(words) - 3)])[:-2]
+        q.append((k, t, None, None, None, None, None))
+        o = text(rng, 1)
+        a += [(3 * k, k, "A", o), (3 * k + 1, k, "B", o), (3 * k + 2, k, "C", text(rng, 1)[: -4 if k % 29 == 0 else None])]
+        if k % 10:
+            links.append((k % 10, k, k))
+
+    def found(copies):
+        def all_of(rows, *keys):
+            return [tuple(v + 10_000 * c if i in keys and v is not None else v for i, v in enumerate(r)) for c in range(copies) for r in rows]
+
+        sources = [(s, s + 100) for s in range(10)]
+        folder = bank(spark, tmp_path / str(copies), questoes=all_of(q, 0), alternativas=all_of(a, 0, 1), prova_cadastrada_questoes=all_of(links, 0, 1), provas_cadastradas=all_of(sources, 0, 1))
+        return {(r.campo, r.registro_id) for r in p7.p7_found(spark, folder).collect()}
+
+    once = found(1)
+    assert {f for f, _ in once} == {"questoes.enunciado", "alternativas.texto"}
+    assert found(6) == {(f, i + 10_000 * c) for f, i in once for c in range(6)}
+
+
+def test_cut_within_the_same_word(spark, tmp_path):
+    """Different values cut within the same word after the same words, as in large banks, are no evidence for each other."""
+    whole = [f"O ensaio {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvxz'[k // 100]} foi feito em solo argiloso." for k in range(400)]
+    cut = ["A comissão pediu um ensaio em solo argil", "O perito mediu a umidade em solo argil", "Houve recalque em solo argil"]
+    end = ["A obra fica em solo arenoso", "O poço fica em solo arenoso"]  # only without its final stop
+    texts = [*whole, *cut, *end]
+    folder = bank(spark, tmp_path, questoes=[(k, t, None, None, None, None, None) for k, t in enumerate(texts)])
+    assert {texts[r.registro_id] for r in p7.p7_found(spark, folder).collect()} == set(cut)
+
+
 def test_tails_by_prefix(spark, monkeypatch):
     """Uses of the words that begin with a tail, against a loop; some words are longer than all prefixes are counted of."""
     monkeypatch.setattr(p7, "LONG_WORD", 3)

@@ -54,13 +54,21 @@ def clustered_rows(boxes: DataFrame, least_confidence: float = 0.65, least: floa
 
 
 def suppress_near(marks: DataFrame, keys: list[str], at: str, tolerance: float) -> DataFrame:
-    """``marks`` without those within ``tolerance`` of one kept before, in the order of ``at``."""
-    g = marks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("a"), "n"))).alias("m"))
-    kind = "array<struct<a:double,n:int>>"
-    keep = F.aggregate(
-        "m", F.array().cast(kind), lambda s, x: F.when(F.exists(s, lambda k: F.abs(k["a"] - x["a"]) <= tolerance), s).otherwise(F.concat(s, F.array(x))).cast(kind)
-    )
-    return marks.join(g.select(*keys, F.explode(keep).alias("_k")).select(*keys, F.col("_k.n").alias("n")), [*keys, "n"])
+    """``marks`` without those within ``tolerance`` of one kept before, in the order of ``at``.
+
+    In that order the last one kept is the nearest. The marks themselves go through the fold; a join with
+    them could be planned as a broadcast of all.
+    """
+    g = _pages_sorted(marks, keys, lambda x: (x[at].cast("double").alias("a"), x["n"]))
+    none = F.filter("_w", lambda x: F.lit(False))
+    keep = F.aggregate("_w", none, lambda s, x: F.when(F.abs(F.try_element_at(s, F.lit(-1))["a"] - x["a"]) <= tolerance, s).otherwise(F.concat(s, F.array(x))))
+    return g.select(F.explode(F.transform(keep, lambda x: F.get("_rows", x["i"]))).alias("_r")).select(*[F.col("_r")[c].alias(c) for c in marks.columns])
+
+
+def _pages_sorted(df: DataFrame, keys: list[str], place) -> DataFrame:
+    """(_rows, _w) of each group: its whole rows, and in order their places with i, where each stands in ``_rows``; rows needn't be orderable."""
+    g = df.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias("_rows"))
+    return g.select("_rows", F.sort_array(F.transform("_rows", lambda x, i: F.struct(*place(x), i.alias("i")))).alias("_w"))
 
 
 def marker_chain(marks: DataFrame, key: str, least: int = 3) -> DataFrame:

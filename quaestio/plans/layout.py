@@ -158,4 +158,4 @@ def clustered_rows(spark, d):
 @query(f"WITH {_W} SELECT doc, page, n FROM w WHERE n % 8 IN (0, 3, 6)")
 def suppressed_marks(spark, d):
     """Marks that aren't within 3 of one kept before on their page."""
-    return L.suppress_near(_words(spark, d), ["doc", "page"], "top", 3.0).select("doc", "page", "n")
+    return L.suppress_near(_words(spark, d).select("doc", "page", "n", "top"), ["doc", "page"], "top", 3.0).select("doc", "page", "n")

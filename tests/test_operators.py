@@ -290,6 +290,42 @@ def test_layout_folds(spark):
     assert layout.anchored_lines(w.where("false"), 4.0).count() == 0
 
 
+MARKS = "doc int, page int, n int, top double, bottom double, confianca double, c string, _rows int"
+
+
+def _marks(seed):
+    """Pages, one of them unnamed, with equal and missing places; further columns have internal names."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(300):
+        top = rng.choice([None, *[i * 1.5 for i in range(40)]])
+        bottom = None if top is None else top + rng.choice([2.0, 10.0, 30.0])
+        rows.append((k % 3, rng.choice([0, 1, None]), k // 2, top, bottom, rng.choice([0.5, 0.9]), f"c{k}", k))
+    return rows
+
+
+def _planned(spark, tmp_path, name):
+    """The plan of a query over tables that Spark takes for small enough to broadcast."""
+    from quaestio.plans import catalog
+
+    spark.createDataFrame([(1, "um dois três")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_suppressed_marks_without_a_join(spark, tmp_path):
+    rows, want, last = _marks(3), [], {}
+    for r in sorted(rows, key=lambda r: (r[3] is not None, r[3] or 0, r[2])):
+        kept = last.get(r[:2])
+        if r[3] is None or kept is None or abs(kept - r[3]) > 3.0:
+            want.append(r[:4])  # of marks with equal place and number any one may stay
+            last[r[:2]] = r[3]
+    m = spark.createDataFrame(rows, MARKS).repartition(5).withColumn("m", F.create_map(F.lit("k"), F.col("_rows")))
+    got = layout.suppress_near(m, ["doc", "page"], "top", 3.0).collect()
+    assert sorted(map(str, (tuple(r)[:4] for r in got))) == sorted(map(str, want))
+    assert all(r.c == f"c{r._rows}" and r.m == {"k": r._rows} for r in got)
+    assert "Join" not in _planned(spark, tmp_path, "suppressed_marks")
+
+
 def test_marker_chain_against_brute_force(spark):
     rng = random.Random(5)
     rows, want = [], {}

@@ -38,19 +38,27 @@ def _anchors(sorted_at: Column, tolerance) -> Column:
 
 def clustered_rows(boxes: DataFrame, least_confidence: float = 0.65, least: float = 4.0) -> DataFrame:
     """``boxes`` of enough confidence with ``linha``: sorted by centre, a row ends where the centre leaves
-    the first centre of the row by more than max(``least``, half the height)."""
-    ok = boxes.where(F.col("confianca") >= least_confidence).withColumn("c", (F.col("top") + F.col("bottom")) / 2).withColumn("h", F.col("bottom") - F.col("top"))
-    kind = "struct<anchor:double,k:int,ks:array<struct<n:int,k:int>>>"
-    zero = F.struct(F.lit(None).alias("anchor"), F.lit(0).alias("k"), F.array().alias("ks")).cast(kind)
+    the first centre of the row by more than max(``least``, half the height).
+
+    The boxes themselves go through the fold, as in ``suppress_near``.
+    """
+    ok = boxes.where(F.col("confianca") >= least_confidence)
+    zero = F.struct(F.lit(None).alias("anchor"), F.lit(0).alias("at"), F.array().alias("starts")).cast("struct<anchor:double,at:int,starts:array<int>>")
 
     def step(s: Column, x: Column) -> Column:
         new = s["anchor"].isNull() | (F.abs(x["c"] - s["anchor"]) > F.greatest(F.lit(least), x["h"] / 2))
-        k = s["k"] + new.cast("int")
-        return F.struct(F.when(new, x["c"]).otherwise(s["anchor"]).alias("anchor"), k.alias("k"), F.concat(s["ks"], F.array(F.struct(x["n"], k.alias("k")))).alias("ks")).cast(kind)
-
-    g = ok.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("c", "n", "h"))).alias("w"))
-    ks = g.select(*PAGE, F.explode(F.aggregate("w", zero, step)["ks"]).alias("r")).select(*PAGE, F.col("r.n").alias("n"), F.col("r.k").alias("linha"))
-    return ok.drop("c", "h").join(ks, [*PAGE, "n"])
+        starts = F.when(new, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"])
+        return F.struct(F.when(new, x["c"]).otherwise(s["anchor"]).alias("anchor"), (s["at"] + 1).alias("at"), starts.alias("starts"))
+
+    def row(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_starts", k + 1), F.size("_w"))
+        return F.transform(F.slice("_w", start + 1, end - start), lambda x: F.struct(F.get("_rows", x["i"]).alias("r"), (k + 1).alias("linha")))
+
+    place = lambda x: (((x["top"] + x["bottom"]) / 2).cast("double").alias("c"), x["n"], (x["bottom"] - x["top"]).alias("h"))
+    g = _pages_sorted(ok, PAGE, place)
+    g = g.select("_rows", "_w", F.aggregate("_w", zero, step)["starts"].alias("_starts"))
+    each = g.select(F.explode(F.flatten(F.transform("_starts", row))).alias("_e"))
+    return each.select(*[F.col("_e")["r"][c].alias(c) for c in ok.columns], F.col("_e.linha").alias("linha"))
 
 
 def suppress_near(marks: DataFrame, keys: list[str], at: str, tolerance: float) -> DataFrame:

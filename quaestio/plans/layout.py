@@ -152,7 +152,7 @@ def detection_validity(spark, d):
 def clustered_rows(spark, d):
     """Boxes of enough confidence in rows by their centres, which sink along a row; every fifth line is read with little confidence."""
     w = _words(spark, d).withColumn("confianca", F.when(F.floor((F.col("n") % 320) / 8) % 5 == 0, 0.5).otherwise(0.9))
-    return L.clustered_rows(w).select("doc", "page", "n", "linha")
+    return L.clustered_rows(w.select("doc", "page", "n", "top", "bottom", "confianca")).select("doc", "page", "n", "linha")
 
 
 @query(f"WITH {_W} SELECT doc, page, n FROM w WHERE n % 8 IN (0, 3, 6)")

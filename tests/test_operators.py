@@ -326,6 +326,24 @@ def test_suppressed_marks_without_a_join(spark, tmp_path):
     assert "Join" not in _planned(spark, tmp_path, "suppressed_marks")
 
 
+def test_clustered_rows_without_a_join(spark, tmp_path):
+    rows, want, state = _marks(4), {}, {}
+    rows = [(*r[:2], r[7], *r[3:]) for r in rows]
+    centre = lambda r: None if r[3] is None else (r[3] + r[4]) / 2
+    for r in sorted((r for r in rows if r[5] >= 0.65), key=lambda r: (r[3] is not None, centre(r) or 0, r[2])):
+        anchor, k = state.get(r[:2], (None, 0))
+        if anchor is None or abs(centre(r) - anchor) > max(4.0, (r[4] - r[3]) / 2):
+            anchor, k = centre(r), k + 1
+        state[r[:2]], want[r[7]] = (anchor, k), k
+    boxes = spark.createDataFrame(rows, MARKS).repartition(5).withColumn("m", F.create_map(F.lit("k"), F.col("_rows")))
+    got = layout.clustered_rows(boxes).collect()
+    assert {r._rows: r.linha for r in got} == want and len(got) == len(want)
+    assert all(r.c == f"c{r._rows}" and r.m == {"k": r._rows} for r in got)
+    twice = spark.createDataFrame([(1, 0, 0, 0.0, 10.0, 0.9, "a", 1), (1, 0, 0, 50.0, 60.0, 0.9, "b", 2)], MARKS)
+    assert sorted((r.c, r.linha) for r in layout.clustered_rows(twice).collect()) == [("a", 1), ("b", 2)]
+    assert "Join" not in _planned(spark, tmp_path, "clustered_rows")
+
+
 def test_marker_chain_against_brute_force(spark):
     rng = random.Random(5)
     rows, want = [], {}

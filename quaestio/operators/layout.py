@@ -56,9 +56,9 @@ def clustered_rows(boxes: DataFrame, least_confidence: float = 0.65, least: floa
 
     place = lambda x: (((x["top"] + x["bottom"]) / 2).cast("double").alias("c"), x["n"], (x["bottom"] - x["top"]).alias("h"))
     g = _pages_sorted(ok, PAGE, place)
-    g = g.select("_rows", "_w", F.aggregate("_w", zero, step)["starts"].alias("_starts"))
-    each = g.select(F.explode(F.flatten(F.transform("_starts", row))).alias("_e"))
-    return each.select(*[F.col("_e")["r"][c].alias(c) for c in ok.columns], F.col("_e.linha").alias("linha"))
+    g = g.select(*PAGE, "_rows", "_w", F.aggregate("_w", zero, step)["starts"].alias("_starts"))
+    each = g.select(*PAGE, F.explode(F.flatten(F.transform("_starts", row))).alias("_e"))
+    return each.select(*[F.col(c) if c in PAGE else F.col("_e")["r"][c].alias(c) for c in ok.columns], F.col("_e.linha").alias("linha"))
 
 
 def suppress_near(marks: DataFrame, keys: list[str], at: str, tolerance: float) -> DataFrame:
@@ -70,13 +70,14 @@ def suppress_near(marks: DataFrame, keys: list[str], at: str, tolerance: float)
     g = _pages_sorted(marks, keys, lambda x: (x[at].cast("double").alias("a"), x["n"]))
     none = F.filter("_w", lambda x: F.lit(False))
     keep = F.aggregate("_w", none, lambda s, x: F.when(F.abs(F.try_element_at(s, F.lit(-1))["a"] - x["a"]) <= tolerance, s).otherwise(F.concat(s, F.array(x))))
-    return g.select(F.explode(F.transform(keep, lambda x: F.get("_rows", x["i"]))).alias("_r")).select(*[F.col("_r")[c].alias(c) for c in marks.columns])
+    each = g.select(*keys, F.explode(F.transform(keep, lambda x: F.get("_rows", x["i"]))).alias("_r"))
+    return each.select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in marks.columns])
 
 
 def _pages_sorted(df: DataFrame, keys: list[str], place) -> DataFrame:
-    """(_rows, _w) of each group: its whole rows, and in order their places with i, where each stands in ``_rows``; rows needn't be orderable."""
-    g = df.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias("_rows"))
-    return g.select("_rows", F.sort_array(F.transform("_rows", lambda x, i: F.struct(*place(x), i.alias("i")))).alias("_w"))
+    """(*keys, _rows, _w) of each group: its rows without the keys, and in order their places with i, where each stands in ``_rows``; rows needn't be orderable."""
+    g = df.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns if c not in keys])).alias("_rows"))
+    return g.select(*keys, "_rows", F.sort_array(F.transform("_rows", lambda x, i: F.struct(*place(x), i.alias("i")))).alias("_w"))
 
 
 def marker_chain(marks: DataFrame, key: str, least: int = 3) -> DataFrame:
